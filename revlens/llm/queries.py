@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, simhash, tokens
+from . import htmltext, langid, mixing, simhash, tokens
 from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,11 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return htmltext.with_main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
@@ -83,7 +88,7 @@ FROM o
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (op1_simhash_dedup, op2_language_id, op4_token_counts, op8_mix_sources)
+        for f in (op1_simhash_dedup, op2_language_id, op4_token_counts, op8_mix_sources, op10_html_text)
     }
 
 
