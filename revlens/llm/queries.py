@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, mixing, simhash, tokens
+from . import chat, decontam, embed, htmltext, langid, mixing, quality, simhash, tokens
 from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,11 +30,55 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.with_token_counts(docs, vocabulary).select("doc_id", "n_tokens")
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = "\\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(1).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"),
+        F.lit(hard).alias("text"),
+    )
+    made = chat.windows(rows.unionByName(extra.withColumn("turn", F.col("turn").cast("long"))))
+    turns = chat.read_turns(F.col("formatted"), F.col("repeated"))
+    lines = F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    back = made.select(
+        "conv_id",
+        "window",
+        F.size(turns).alias("n"),
+        F.array_join(lines, "").alias("said"),
+        chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+        F.length("formatted").cast("long").alias("chars"),
+    )
+    whole = back.groupBy("conv_id").agg(
+        F.sum("n").cast("long").alias("n_turns"),
+        F.sort_array(F.collect_list(F.struct("window", "said", "loss"))).alias("parts"),
+        F.sum("chars").alias("formatted_chars"),
+    )
+    return whole.select(
+        "conv_id",
+        "n_turns",
+        F.sha2(F.array_join("parts.said", ""), 256).alias("turns_sha256"),
+        F.length(F.array_join("parts.loss", "")).cast("long").alias("loss_chars"),
+        F.sha2(F.array_join("parts.loss", ""), 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = decontam.with_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return held.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("words"))
@@ -44,11 +88,52 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = held_out(F.col("doc_id"), 5, 0)
+    labels = table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(~fold))
+    scored = quality.with_quality(docs.withColumn("held_out", fold), model)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return htmltext.with_main_text(pages).select("page_id", "url", "text", "n_chars")
 
 
+OP6_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) + 4 AS tokens FROM rows
+), placed AS (
+  SELECT *, row_number() OVER w - 1 AS idx, sum(tokens) OVER w AS stop, (tokens > 512)::INT AS big,
+         sum((tokens > 512)::INT) OVER w - (tokens > 512)::INT AS large
+  FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)
+), spans AS (
+  SELECT *, stop - tokens AS start, min(idx) OVER v AS win, min(stop - tokens) OVER v AS pos
+  FROM placed WINDOW v AS (PARTITION BY conv_id, floor((stop - tokens) / 512.0), 2 * large + big)
+), firsts AS (SELECT conv_id, win, pos FROM spans WHERE idx = win), items AS (
+  SELECT conv_id, role, text FROM spans
+  UNION ALL SELECT f.conv_id, role, text FROM firsts f JOIN spans s ON f.conv_id IS NOT DISTINCT FROM s.conv_id
+    WHERE f.win > 0 AND idx = 0 AND role = 'system'
+  UNION ALL SELECT f.conv_id, role, text FROM firsts f JOIN spans s ON f.conv_id IS NOT DISTINCT FROM s.conv_id
+    WHERE NOT (idx = 0 AND role = 'system') AND f.pos >= stop AND f.pos - start <= 256
+), chars AS (
+  SELECT conv_id, sum(15 + length(role) + length(text)
+    + len(regexp_extract_all(role || text, '[\\<>]')))::BIGINT AS formatted_chars FROM items GROUP BY conv_id
+), said AS (
+  SELECT conv_id, count(*)::BIGINT AS n_turns,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss
+  FROM rows GROUP BY conv_id
+)
+SELECT said.conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+FROM said JOIN chars ON said.conv_id IS NOT DISTINCT FROM chars.conv_id
+"""
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
@@ -88,9 +173,9 @@ FROM o
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (op1_simhash_dedup, op2_language_id, op4_token_counts, op8_mix_sources, op10_html_text)
+        for f in (op1_simhash_dedup, op2_language_id, op3_embedding_dedup, op4_token_counts, op6_chat_format, op7_decontaminate, op8_mix_sources, op9_quality, op10_html_text)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": OP8_SQL}
+    return {"op6_chat_format": OP6_SQL, "op8_mix_sources": OP8_SQL}
