@@ -9,40 +9,48 @@ from pyspark.sql import functions as F
 
 from .common import WORD_BREAKS, Scratch
 
-SLOTS = 1 << 16
+SLOTS = 1 << 18
 KEY = ["doc", "body"]
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), WORD_BREAKS), lambda w: w != "")
+def _words(text: Column) -> Column:
+    """Words, and empty ones; the plain blank, without a pattern, is the cheap common case."""
+    odd = F.lit(False)
+    for c in "\t\x0b\x0c\r":
+        odd |= F.contains(text, F.lit(c))
+    return F.when(odd, F.split(text, WORD_BREAKS)).otherwise(F.split(text, " "))
 
 
-def rarity_classes(docs: DataFrame, text_col: str = "text") -> bytes:
-    """How common the words of all ``docs`` are: a class from 1 to 127 for each of 65,536 hash slots.
+def rarity_classes(docs: DataFrame, text_col: str = "text") -> list[int]:
+    """How common the words of all ``docs`` are: a class for each of 262,144 hash slots.
 
-    Counts are taken over every word of every text; the class is three times the binary logarithm of a slot's
+    Counts are taken over every word of every text; the class is four times the binary logarithm of a slot's
     count. The result has a fixed size whatever the corpus. Any order of the words makes the join exact;
     this one makes it cheap.
     """
-    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), WORD_BREAKS)).alias("w"))
+    lines = docs.select(F.explode(F.split(F.lower(F.col(text_col)), "\n")).alias("line"))
+    words = lines.select(F.explode(_words(F.col("line"))).alias("w"))
     slots = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).count()
-    table = bytearray([1]) * SLOTS
+    table = [0] * SLOTS
     for slot, n in slots.collect():
-        table[slot] = min(127, 1 + int(3 * math.log2(n)))
-    return bytes(table)
+        table[slot] = int(4 * math.log2(n)) + 1
+    return table
 
 
-def _ordered(line: Column, classes: bytes) -> Column:
-    """A line's distinct words as longs that sort by rarity: 7 bits of class, 48 bits of hash."""
-    table = F.lit(classes)
+def _ordered(line: Column, classes: Column) -> Column:
+    """A line's distinct words as longs that sort by rarity: the class above 48 bits of hash."""
 
     def key(w: Column) -> Column:
         h = F.xxhash64(w)
-        slot = h.bitwiseAND(F.lit(SLOTS - 1)).cast("int") + 1
-        rank = F.ascii(F.substring(table, slot, F.lit(1)).cast("string")).cast("long")
+        rank = F.get(classes, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int"))
         return F.shiftleft(rank, 48).bitwiseOR(F.shiftrightunsigned(h, 16))
 
-    return F.sort_array(F.array_distinct(F.transform(_words(line), key)))
+    blank = key(F.lit(""))
+    return F.sort_array(F.array_remove(F.array_distinct(F.transform(_words(line), key)), blank))
+
+
+def _literal(classes: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")
 
 
 def _least(n: Column, share: float) -> Column:
@@ -50,39 +58,55 @@ def _least(n: Column, share: float) -> Column:
     return F.ceil(n * share - 1e-9).cast("int")
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("doc"),
-        F.xxhash64(text_col).alias("body"),
-        F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"),
+def _sketch(words: Column) -> Column:
+    """64 parities: two sets differ in at least as many words as their sketches in bits."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(
+        words,
+        F.lit(0).cast("long"),
+        lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))),
     )
 
 
+def _beside(docs: DataFrame, other: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """Documents joined by their key with a table that has one row for each key at most."""
+    body = F.xxhash64(text_col)
+    return docs.join(other, docs[id_col].eqNullSafe(other["doc"]) & (body == other["body"]), how)
+
+
 def removed_lines(
     docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``doc, body, no`` of every line that has a match before it; body is a hash of the document's text.
+    """``doc, body, gone`` (line numbers from 0) for every document that has lines with a match before them.
 
-    A line is the set of its lower-cased words; lines without words are never removed. Lines stand in the
-    order of (doc, body, no), null documents first. Two lines match where the Jaccard similarity of their
-    sets is at least ``similarity``; a line goes if it matches any earlier one, removed or not.
+    A line is the set of its lower-cased words; lines without words never go. Lines stand in the
+    order of (doc, body, number), null documents first; body is a hash of the document's text. Two lines match
+    where the Jaccard similarity of their sets is at least ``similarity``; a line goes if it matches any
+    earlier one, whether or not that stays. Repeated rows (same id and text) count as one document.
 
     Equal sets form a class, represented by its first line, so copies make no pairs. Classes are joined on
-    the rare words at the front of their sets (prefix filter), with the length filter and the positional filter
-    in the join; Jaccard is then computed on the whole sets of what is left.
+    the rare words at the front of their sets (prefix filter), under the length filter, the positional filter and
+    a bound by 64 parities; Jaccard is then computed on the whole sets of what is left. Words are compared by
+    hashes of over 48 bits.
     """
     scratch = Scratch(docs.sparkSession)
-    lines = _lines(docs, id_col, text_col)
-    sets = lines.select(*KEY, "no", _ordered(F.col("line"), rarity_classes(docs, text_col)).alias("set"))
-    sets = sets.select(*KEY, "no", "set", F.size("set").alias("n"), F.xxhash64("set").alias("key")).where("n > 0")
-    prefix = F.slice("set", 1, F.col("n") - _least(F.col("n"), similarity) + 1)
-    classes = scratch.save(
-        sets.select("key", "n", F.struct(*KEY, "no").alias("at"), prefix.alias("prefix"))
-        .groupBy("key")
-        .agg(F.min("at").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = _literal(rarity_classes(docs, text_col))
+    rows = docs.where(F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("doc"),
+        F.xxhash64(text_col).alias("body"),
+        F.posexplode(F.split(F.lower(F.col(text_col)), "\n")).alias("no", "line"),
+    )
+    # explode(array(x)) has x computed once, however often it is used below
+    sets = rows.select(*KEY, "no", F.explode(F.array(_ordered(F.col("line"), classes))).alias("set"))
+    sets = sets.withColumn("n", F.size("set"))
+    front = F.slice("set", 1, F.col("n") - _least(F.col("n"), similarity) + 1)
+    lines = scratch.save(
+        sets.where("n > 0").select(
+            *KEY, "no", F.xxhash64("set").alias("key"), "n", _sketch(F.col("set")).alias("sketch"), front.alias("front")
+        )
     )
-    # The shorter of two lines need only show the front of an even shorter prefix.
-    entries = classes.select("key", "n", F.posexplode("prefix").alias("pos", "word"))
+    firsts = lines.groupBy("key").agg(F.min(F.struct(*KEY, "no", "n", "sketch", "front")).alias("f"))
+    entries = firsts.select("key", "f.n", "f.sketch", F.posexplode("f.front").alias("pos", "word"))
     x, y = entries.alias("x"), entries.alias("y")
     xn, yn, xp, yp = (F.col(c) for c in ("x.n", "y.n", "x.pos", "y.pos"))
     shared = _least(xn + yn, similarity / (1 + similarity))
@@ -90,11 +114,61 @@ def removed_lines(
         (F.col("x.word") == F.col("y.word"))
         & ((xn > yn) | ((xn == yn) & (F.col("x.key") > F.col("y.key"))))
         & (yn >= _least(xn, similarity))
-        & (yp <= yn - _least(yn, 2 * similarity / (1 + similarity)))
+        & (yp <= yn - _least(yn, 2 * similarity / (1 + similarity)))  # the shorter line's prefix may be shorter still
         & (F.least(xp, yp) + 1 + F.least(xn - xp - 1, yn - yp - 1) >= shared)
+        & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= xn + yn - 2 * shared)
     )
     pairs = scratch.save(x.join(y, fits).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    places = classes.select("key", "first").join(wanted, "key").select("key", "first.*")
-    spots = places.groupBy(*KEY).agg(F.collect_list(F.struct("no", "key")).alias("spots"))
-    return sets, classes, pairs, spots, scratch
+    spots = (
+        firsts.select("key", "f.doc", "f.body", "f.no")
+        .join(wanted, "key")
+        .groupBy(*KEY)
+        .agg(F.collect_list(F.struct("no", "key")).alias("spots"))
+    )
+    text = F.split(F.lower(F.col(text_col)), "\n")
+    whole = (
+        _beside(docs.select(id_col, text_col), spots, id_col, text_col, "inner")
+        .select(*KEY, text.alias("lines"), F.explode("spots").alias("spot"))
+        .select("spot.key", F.struct(*KEY, "spot.no").alias("at"), F.get("lines", "spot.no").alias("line"))
+        .dropDuplicates(["key"])
+        .select("key", "at", F.explode(F.array(_ordered(F.col("line"), classes))).alias("set"))
+    )
+    whole = scratch.save(whole)
+    both = pairs.join(whole.toDF("a", "at_a", "set_a"), "a").join(whole.toDF("b", "at_b", "set_b"), "b")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    alike = both.where(common >= _least(F.size("set_a") + F.size("set_b") - common, similarity))
+    late = alike.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("key")).distinct()
+    state = (
+        lines.groupBy("key").agg(F.min(F.struct(*KEY, "no")).alias("first"))
+        .join(late.withColumn("late", F.lit(True)), "key", "left")
+    )
+    gone = lines.select(*KEY, "no", "key").join(state, "key").where(
+        F.col("late").isNotNull() | (F.struct(*KEY, "no") != F.col("first"))
+    )
+    return gone.groupBy(*KEY).agg(F.collect_set("no").alias("gone"))
+
+
+def with_kept_text(
+    docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with matched lines taken out of the text, and ``n_lines`` and ``n_removed``.
+
+    See :func:`removed_lines`. The lines that stay keep their order and are joined by line breaks again; a text
+    without removed lines is unchanged, a null text stays null with no lines. Other columns stay.
+    """
+    gone = removed_lines(docs, similarity, id_col, text_col)
+    lines = F.split(F.col(text_col), "\n")
+    stay = F.filter(lines, lambda _, i: ~F.array_contains("gone", i))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return _beside(docs, gone, id_col, text_col, "left").select(
+        *[(F.when(F.col("gone").isNull(), F.col(c)).otherwise(F.array_join(stay, "\n")).alias(c) if c == text_col else docs[c]) for c in columns],
+        F.greatest(F.size(lines), F.lit(0)).alias("n_lines"),
+        F.greatest(F.size("gone"), F.lit(0)).alias("n_removed"),
+    )
+
+
+def dedup_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without matched lines; documents of which no line is left go, those that were empty before stay."""
+    seen = with_kept_text(docs, similarity, id_col, text_col)
+    return seen.where((F.col("n_removed") == 0) | F.coalesce(F.col(text_col).rlike(r"\S"), F.lit(False))).select(*docs.columns)

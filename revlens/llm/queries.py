@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embed, htmltext, langid, mixing, quality, simhash, tokens
+from . import chat, decontam, embed, htmltext, langid, linededup, mixing, quality, simhash, tokens
 from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABUL
     return tokens.with_token_counts(docs, vocabulary).select("doc_id", "n_tokens")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    seen = linededup.with_kept_text(docs)
+    return seen.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "\\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -102,6 +108,30 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.with_main_text(pages).select("page_id", "url", "text", "n_chars")
 
 
+OP5_SQL = r"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS no, unnest(string_split(text, chr(10))) AS line FROM documents
+), w AS (
+  SELECT doc_id, no, line, list_distinct(list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words FROM l
+), s AS (
+  SELECT DISTINCT ON (key) list_sort(words) AS key, doc_id, no, len(words) AS n FROM w WHERE len(words) > 0 ORDER BY key, doc_id, no
+), c AS (SELECT row_number() OVER () AS id, * FROM s), t AS (SELECT id, n, doc_id, no, unnest(key) AS word FROM c), f AS (
+  SELECT word, count(*) AS df FROM t GROUP BY word
+), p AS (
+  SELECT * FROM (SELECT id, n, doc_id, no, word, row_number() OVER (PARTITION BY id ORDER BY df, word) AS pos FROM t JOIN f USING (word))
+  WHERE pos <= n - ceil(0.8 * n - 1e-9) + 1
+), pair AS (
+  SELECT DISTINCT a.id AS early, b.id AS late FROM p a JOIN p b USING (word)
+  WHERE (a.doc_id, a.no) < (b.doc_id, b.no) AND a.n >= 0.8 * b.n - 1e-9 AND b.n >= 0.8 * a.n - 1e-9
+), late AS (
+  SELECT DISTINCT late AS id FROM pair JOIN c a ON a.id = early JOIN c b ON b.id = late
+  WHERE len(list_intersect(a.key, b.key)) >= 0.8 * (a.n + b.n - len(list_intersect(a.key, b.key))) - 1e-9
+), kept AS (SELECT doc_id, no FROM c WHERE id NOT IN (SELECT id FROM late))
+SELECT w.doc_id, count(*)::INT AS n_lines, count(*) FILTER (WHERE len(words) > 0 AND kept.no IS NULL)::INT AS n_removed,
+       md5(coalesce(string_agg(line, chr(10) ORDER BY w.no) FILTER (WHERE len(words) = 0 OR kept.no IS NOT NULL), '')) AS kept_md5
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id AND w.no = kept.no GROUP BY w.doc_id
+"""
+
 OP6_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -173,9 +203,9 @@ FROM o
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (op1_simhash_dedup, op2_language_id, op3_embedding_dedup, op4_token_counts, op6_chat_format, op7_decontaminate, op8_mix_sources, op9_quality, op10_html_text)
+        for f in (op1_simhash_dedup, op2_language_id, op3_embedding_dedup, op4_token_counts, op5_line_dedup, op6_chat_format, op7_decontaminate, op8_mix_sources, op9_quality, op10_html_text)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": OP6_SQL, "op8_mix_sources": OP8_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_mix_sources": OP8_SQL}
