@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from revlens.plans import filter_queries
+from revlens.plans.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "j01_spatial_diff"
+BOOKS = [filter_queries.book]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for book in BOOKS for name, f in book.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for book in BOOKS for name, sql in book.sql.items()}
