@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,11 +45,14 @@ class Scratch:
         self.made = 0
 
     def save(self, df: DataFrame) -> DataFrame:
+        """``df``, written and read again. Shuffle files of steps that are over are let go, to bound the disk in use."""
         path = f"{self.folder}/{self.made}"
         self.made += 1
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(back)] = path
+        gc.collect()
+        self.spark._jvm.System.gc()  # Spark removes the files of unreachable shuffles on collection
         return back
 
     def drop(self, df: DataFrame) -> None:

@@ -25,23 +25,26 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+class _WordHashes(dict):
+    """Hashes of words, kept up to a fixed number."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
 class Shingler:
-    """Word shingles of texts as 64-bit hashes; word hashes are kept in a cache of fixed size."""
+    """Word shingles of texts as 64-bit hashes."""
 
     def __init__(self, width: int):
         self.width = width
-        self.known: dict[str, int] = {}
+        self.known = _WordHashes()
 
     def words(self, text: str) -> np.ndarray:
-        known, out = self.known, []
-        if len(known) > CACHE:
-            known.clear()
-        for w in WORD.findall(text.lower()):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w)
-            out.append(h)
-        return np.array(out, np.uint64)
+        found = WORD.findall(text.lower())
+        return np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found))
 
     def shingles(self, words: np.ndarray) -> np.ndarray:
         """One hash for each window of ``width`` words; a shorter text is one shingle, an empty one none."""
@@ -113,30 +116,31 @@ class Index:
     def matches(self, text: str | None) -> list[tuple[int, float, int]]:
         """(item, similarity, first word) of the best window of each item that the text holds.
 
-        Windows have the size of an item, at every place. Since the similarity asks for so many common
+        Windows have the size of an item (a shorter text is one window), at every place. Since the similarity asks for so many common
         shingles, windows with fewer shingles that occur in the benchmark at all are passed over; none that could
         match is lost by it. The others' fingerprints are looked up in the blocks, checked in full, and verified.
         """
         words = self.shingler.words(text or "")
-        if not len(words):
+        if not len(words) or not self.by_size:
             return []
         best: dict[int, tuple[float, int]] = {}
         by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n, own in self.by_size.items():
             width = min(self.width, n)
-            if n > len(words):
+            if len(words) < width:
                 continue
             if width not in by_width:
-                shingler = Shingler(width)
-                h = shingler.shingles(words)
-                hit = self.hint[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
+                h = Shingler(width).shingles(words)
+                hit = self.hint.take((h & np.uint64((1 << 20) - 1)).view(np.int64))
                 at = np.nonzero(hit)[0]
-                hit[at] = np.isin(h[at], self.known)
-                by_width[width] = h, np.concatenate([[0], np.cumsum(hit)])
-            h, hits = by_width[width]
-            size = n - width + 1
-            least = int(np.ceil(self.similarity * size - 1e-9))
-            if hits[-1] < least:
+                place = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
+                hit[at] = self.known[place] == h[at]
+                total = int(np.count_nonzero(hit[at]))
+                by_width[width] = h, total, np.concatenate([[0], np.cumsum(hit)]) if total else None
+            h, total, hits = by_width[width]
+            least = int(np.ceil(self.similarity * (n - width + 1) - 1e-9))
+            size = min(n, len(words)) - width + 1
+            if total < max(least, 1):
                 continue
             starts = np.nonzero(hits[size:] - hits[:-size] >= least)[0]
             if not len(starts):

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,21 +23,22 @@ def table_shape(n: int, cosine: float, recall: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
 
 
-def _linked(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Of a bucket (or two blocks of one): per vector the weight of its partners, and the least id of its local group.
+KEYS = ["dim", "t", "code", "low", "high"]
 
-    A pair belongs to the first table in which its codes agree, so that no pair counts twice.
+
+def _linked(x: np.ndarray, ids: np.ndarray, weight: np.ndarray, codes: np.ndarray, block: np.ndarray, cosine: float):
+    """Of a bucket (or two blocks of one): ids that have partners, their partners' weight, and the least id of their local group.
+
+    A pair belongs to the first table in which its codes agree (``codes`` holds those of the tables before), so that
+    no pair counts twice.
     """
-    ids, weight = pdf["cid"].to_numpy(), pdf["weight"].to_numpy()
-    x = np.stack(pdf["vec"].to_list()).astype(np.float64)
-    x /= np.sqrt((x * x).sum(1, keepdims=True))
     near = x @ x.T >= cosine
     np.fill_diagonal(near, False)
-    low, high, block = int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0]), pdf["block"].to_numpy()
-    if low != high:
+    if block[0] != block[-1]:  # sorted: two blocks, of which only pairs across are new
         near &= block[:, None] != block[None, :]
     a, b = np.nonzero(near)
-    codes = np.stack(pdf["codes"].to_list())[:, : int(pdf["t"].iloc[0])]
+    if not len(a):
+        return None
     fresh = ~(codes[a] == codes[b]).any(axis=1)
     a, b = a[fresh], b[fresh]
     root = ids.copy()
@@ -48,7 +50,49 @@ def _linked(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
         root = down
     links = np.bincount(a, weights=weight[b], minlength=len(ids)).astype(np.int64)
     found = links > 0
-    return pd.DataFrame({"cid": ids[found], "links": links[found], "root": root[found]})
+    return ids[found], links[found], root[found]
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    """Partial results of all buckets of a partition that is sorted by bucket; the last of a batch waits for the next."""
+    out_schema = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+    rest: pa.Table | None = None
+
+    def solved(rows: pa.Table) -> pa.RecordBatch:
+        ends = _edges(rows)
+        columns = {n: rows[n].to_numpy() for n in ("dim", "t", "block", "cid", "weight")}
+        found = []
+        for lo, hi in zip(ends, ends[1:], strict=False):
+            part = rows.slice(lo, hi - lo)
+            block = columns["block"][lo:hi]
+            if part["low"][0].as_py() != part["high"][0].as_py() and block[0] == block[-1]:
+                continue  # one of the two blocks is empty
+            dim, t = int(columns["dim"][lo]), int(columns["t"][lo])
+            x = part["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            x /= np.sqrt((x * x).sum(1, keepdims=True))
+            codes = part["codes"].combine_chunks().flatten().to_numpy().reshape(hi - lo, -1)[:, :t]
+            if (got := _linked(x, columns["cid"][lo:hi], columns["weight"][lo:hi], codes, block, cosine)) is not None:
+                found.append(got)
+        arrays = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], schema=out_schema)
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([rest, rows]) if rest is not None else rows
+        if not len(rows):
+            continue
+        last = int(_edges(rows)[-2])
+        rest = rows.slice(last)
+        if last:
+            yield solved(rows.slice(0, last))
+    if rest is not None:
+        yield solved(rest)
+
+
+def _edges(rows: pa.Table) -> np.ndarray:
+    """Where each run of equal bucket keys begins, and the end."""
+    keys = np.stack([rows[k].to_numpy().astype(np.int64) for k in KEYS])
+    return np.concatenate([[0], np.nonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))[0] + 1, [len(rows)]])
 
 
 def embedding_groups(
@@ -64,8 +108,8 @@ def embedding_groups(
     Two vectors are linked if some table puts them into one bucket and their cosine in double precision is at
     least ``cosine``; a pair at that very cosine is found with the probability ``recall``, closer ones nearly always.
     Equal vectors are one class, counted, and never compared with each other. Buckets of over 512 classes are
-    cut into blocks by hash, and each pair of blocks is a group of its own. Each group returns sums and local
-    groups, not pairs.
+    cut into blocks by hash, and each pair of blocks is a group of its own. A task works through its groups one by
+    one, and returns sums and local groups, not pairs.
 
     Vectors that are null, zero or hold null or non-finite components link with nothing, as do rows without an id
     (whose component is null) and vectors of different lengths. Repeated ids are vectors of their own with one component.
@@ -105,8 +149,10 @@ def embedding_groups(
     )
     found = scratch.save(
         placed.join(coded, "cid")
-        .groupBy("dim", "t", "code", "low", "high")
-        .applyInPandas(lambda pdf: _linked(pdf, cosine), "cid long, links long, root long")
+        .repartition(*KEYS)
+        .sortWithinPartitions(*KEYS, "block", "cid")
+        .select(*KEYS, "block", "cid", "weight", "codes", "vec")
+        .mapInArrow(lambda batches: _buckets(batches, cosine), "cid long, links long, root long")
     )
     roots = connected_components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")), scratch)
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))

@@ -69,9 +69,9 @@ def _sketch(words: Column) -> Column:
 
 
 def _beside(docs: DataFrame, other: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
-    """Documents joined by their key with a table that has one row for each key at most."""
-    body = F.xxhash64(text_col)
-    return docs.join(other, docs[id_col].eqNullSafe(other["doc"]) & (body == other["body"]), how)
+    """Documents joined by their key with a table that has one row for each key at most; its columns get two underscores."""
+    other = other.toDF(*[f"__{c}" for c in other.columns])
+    return docs.join(other, F.col(id_col).eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__body")), how)
 
 
 def removed_lines(
@@ -85,8 +85,9 @@ def removed_lines(
     earlier one, whether or not that stays. Repeated rows (same id and text) count as one document.
 
     Equal sets form a class, represented by its first line, so copies make no pairs. Classes are joined on
-    the rare words at the front of their sets (prefix filter), under the length filter, the positional filter and
-    a bound by 64 parities; Jaccard is then computed on the whole sets of what is left. Words are compared by
+    the rare words at the front of their sets (prefix filter), under the length filter, the positional filter, a
+    bound by 64 parities and one by the number of words that the prefixes share; Jaccard is then computed on the
+    whole sets of what is left. Words are compared by
     hashes of over 48 bits.
     """
     scratch = Scratch(docs.sparkSession)
@@ -105,8 +106,17 @@ def removed_lines(
             *KEY, "no", F.xxhash64("set").alias("key"), "n", _sketch(F.col("set")).alias("sketch"), front.alias("front")
         )
     )
-    firsts = lines.groupBy("key").agg(F.min(F.struct(*KEY, "no", "n", "sketch", "front")).alias("f"))
-    entries = firsts.select("key", "f.n", "f.sketch", F.posexplode("f.front").alias("pos", "word"))
+    place = F.struct(*KEY, "no")
+    firsts = scratch.save(
+        lines.groupBy("key")
+        .agg(F.min(F.struct(*KEY, "no", "n", "sketch", "front")).alias("f"))
+        .select("key", F.struct("f.doc", "f.body", "f.no").alias("at"), "f.n", "f.sketch", "f.front")
+    )
+    repeats = scratch.save(
+        lines.select("key", *KEY, "no").join(firsts.select("key", "at"), "key").where(place != F.col("at")).select(*KEY, "no")
+    )
+    scratch.drop(lines)
+    entries = firsts.select("key", "n", "sketch", F.posexplode("front").alias("pos", "word"))
     x, y = entries.alias("x"), entries.alias("y")
     xn, yn, xp, yp = (F.col(c) for c in ("x.n", "y.n", "x.pos", "y.pos"))
     shared = _least(xn + yn, similarity / (1 + similarity))
@@ -114,38 +124,45 @@ def removed_lines(
         (F.col("x.word") == F.col("y.word"))
         & ((xn > yn) | ((xn == yn) & (F.col("x.key") > F.col("y.key"))))
         & (yn >= _least(xn, similarity))
-        & (yp <= yn - _least(yn, 2 * similarity / (1 + similarity)))  # the shorter line's prefix may be shorter still
         & (F.least(xp, yp) + 1 + F.least(xn - xp - 1, yn - yp - 1) >= shared)
         & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= xn + yn - 2 * shared)
     )
-    pairs = scratch.save(x.join(y, fits).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    spots = (
-        firsts.select("key", "f.doc", "f.body", "f.no")
-        .join(wanted, "key")
-        .groupBy(*KEY)
-        .agg(F.collect_list(F.struct("no", "key")).alias("spots"))
+    met = x.join(y, fits).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b"), xn.alias("an"), yn.alias("bn"))
+    # Words that are not common to both prefixes are common only if they lie behind the prefix of one of the lines.
+    behind = F.greatest(*[_least(F.col(n), similarity) - 1 for n in ("an", "bn")])
+    enough = F.col("met") + behind >= _least(F.col("an") + F.col("bn"), similarity / (1 + similarity))
+    pairs = scratch.save(met.agg(F.count(F.lit(1)).alias("met")).where(enough).select("a", "b"))
+    places = firsts.select("key", "at")
+    turned = F.col("at_a") > F.col("at_b")
+    ends = pairs.join(places.toDF("a", "at_a"), "a").join(places.toDF("b", "at_b"), "b")
+    pairs = scratch.save(
+        ends.select(
+            F.when(turned, F.col("a")).otherwise(F.col("b")).alias("late"),
+            F.when(turned, F.col("b")).otherwise(F.col("a")).alias("early"),
+            F.when(turned, F.col("at_b")).otherwise(F.col("at_a")).alias("at"),
+        )
     )
+    wanted = pairs.select(F.explode(F.array("late", "early")).alias("key")).distinct()
+    spots = places.join(wanted, "key").groupBy("at.doc", "at.body").agg(F.collect_list(F.struct("at.no", "key")).alias("spots"))
     text = F.split(F.lower(F.col(text_col)), "\n")
-    whole = (
+    whole = scratch.save(
         _beside(docs.select(id_col, text_col), spots, id_col, text_col, "inner")
-        .select(*KEY, text.alias("lines"), F.explode("spots").alias("spot"))
-        .select("spot.key", F.struct(*KEY, "spot.no").alias("at"), F.get("lines", "spot.no").alias("line"))
+        .select(text.alias("lines"), F.explode("__spots").alias("spot"))
+        .select("spot.key", F.get("lines", "spot.no").alias("line"))
         .dropDuplicates(["key"])
-        .select("key", "at", F.explode(F.array(_ordered(F.col("line"), classes))).alias("set"))
-    )
-    whole = scratch.save(whole)
-    both = pairs.join(whole.toDF("a", "at_a", "set_a"), "a").join(whole.toDF("b", "at_b", "set_b"), "b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    alike = both.where(common >= _least(F.size("set_a") + F.size("set_b") - common, similarity))
-    late = alike.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("key")).distinct()
-    state = (
-        lines.groupBy("key").agg(F.min(F.struct(*KEY, "no")).alias("first"))
-        .join(late.withColumn("late", F.lit(True)), "key", "left")
-    )
-    gone = lines.select(*KEY, "no", "key").join(state, "key").where(
-        F.col("late").isNotNull() | (F.struct(*KEY, "no") != F.col("first"))
+        .select("key", F.explode(F.array(_ordered(F.col("line"), classes))).alias("set"))
     )
+
+    def verified(some: DataFrame) -> DataFrame:
+        both = some.join(whole.toDF("late", "set"), "late").join(whole.toDF("early", "other"), "early")
+        common = F.size(F.array_intersect("set", "other"))
+        return both.where(common >= _least(F.size("set") + F.size("other") - common, similarity)).select("late").distinct()
+
+    # One match is enough: the earliest candidate settles most lines, the others are needed for the rest only.
+    best = pairs.groupBy("late").agg(F.min(F.struct("at", "early")).alias("e")).select("late", "e.early")
+    settled = scratch.save(verified(best))
+    late = settled.union(verified(pairs.select("late", "early").join(settled, "late", "left_anti")))
+    gone = repeats.union(places.join(late.withColumnRenamed("late", "key"), "key").select("at.doc", "at.body", "at.no"))
     return gone.groupBy(*KEY).agg(F.collect_set("no").alias("gone"))
 
 
@@ -159,12 +176,12 @@ def with_kept_text(
     """
     gone = removed_lines(docs, similarity, id_col, text_col)
     lines = F.split(F.col(text_col), "\n")
-    stay = F.filter(lines, lambda _, i: ~F.array_contains("gone", i))
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return _beside(docs, gone, id_col, text_col, "left").select(
-        *[(F.when(F.col("gone").isNull(), F.col(c)).otherwise(F.array_join(stay, "\n")).alias(c) if c == text_col else docs[c]) for c in columns],
+    stay = F.filter(lines, lambda _, i: ~F.array_contains("__gone", i))
+    kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
+    return _beside(docs.drop("n_lines", "n_removed"), gone, id_col, text_col, "left").select(
+        *[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
         F.greatest(F.size(lines), F.lit(0)).alias("n_lines"),
-        F.greatest(F.size("gone"), F.lit(0)).alias("n_removed"),
+        F.greatest(F.size("__gone"), F.lit(0)).alias("n_removed"),
     )
 
 
