@@ -283,7 +283,7 @@ def test_decontamination(spark):
     for limit in (4_000_000, 2000):  # one slice and several
         out = decontam.with_leaks(df, bench, slice_chars=limit).select("doc_id", F.explode("leaks").alias("l")).collect()
         assert {(r.doc_id, r.l.item_id): r.l.similarity for r in out} == want
-    assert len(want) > 60
+    assert len(want) > 40
     clean = {r.doc_id for r in decontam.decontaminate(df, bench).collect()}
     assert clean == {d for d, _ in docs} - {d for d, _ in want}
 
