@@ -119,6 +119,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     component = classes.join(roots, F.col("rep") == F.col("node"), "left").select(
         "fp", F.coalesce("root", "rep").alias("component_id")
     )
+    component = scratch.save(component)  # so the last join is plain, and a large group of copies can be split
     return signed.join(component, "fp").select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
