@@ -2,55 +2,61 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_BREAKS, Scratch
 
-SLOTS = 1 << 18
+SLOTS = 1 << 21
 KEY = ["doc", "body"]
+APART_AT = 57  # ids made by Spark stay below this bit for 16 million partitions
 
 
-def _words(text: Column) -> Column:
-    """Words, and empty ones; the plain blank, without a pattern, is the cheap common case."""
+def _words(text: Column, plain: Column | None = None) -> Column:
+    """Words, and empty ones; the plain blank, without a pattern, is the cheap common case (``plain``: the text for it)."""
     odd = F.lit(False)
     for c in "\t\x0b\x0c\r":
         odd |= F.contains(text, F.lit(c))
-    return F.when(odd, F.split(text, WORD_BREAKS)).otherwise(F.split(text, " "))
+    return F.when(odd, F.split(text, WORD_BREAKS)).otherwise(F.split(text if plain is None else plain, " "))
 
 
-def rarity_classes(docs: DataFrame, text_col: str = "text") -> list[int]:
-    """How common the words of all ``docs`` are: a class for each of 262,144 hash slots.
+def rarity_table(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
+    """How common the words of all ``docs`` are: one row with a byte for each of 2,097,152 hash slots.
 
-    Counts are taken over every word of every text; the class is four times the binary logarithm of a slot's
-    count. The result has a fixed size whatever the corpus. Any order of the words makes the join exact;
+    Counts are taken over every word of every text; the byte is 48 plus twice the binary logarithm of a slot's
+    count. The table has a fixed size (2 MB) whatever the corpus. Any order of the words makes the join exact;
     this one makes it cheap.
     """
-    lines = docs.select(F.explode(F.split(F.lower(F.col(text_col)), "\n")).alias("line"))
-    words = lines.select(F.explode(_words(F.col("line"))).alias("w"))
-    slots = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).count()
-    table = [0] * SLOTS
-    for slot, n in slots.collect():
-        table[slot] = int(4 * math.log2(n)) + 1
-    return table
+    text = F.lower(F.col(text_col))
+    words = docs.select(F.explode(_words(text, F.replace(text, F.lit("\n"), F.lit(" ")))).alias("w"))
+    slots = words.select(_slot(F.xxhash64("w")).alias("slot")).union(docs.sparkSession.range(SLOTS))  # each at least once
+    shade = F.chr(48 + F.least(F.floor(2 * F.log2("n")), F.lit(77)))
+    shades = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).select("slot", shade.alias("shade"))
 
+    def strung(at: str, part: str) -> Column:
+        return F.array_join(F.sort_array(F.collect_list(F.struct(at, part))).getField(part), "")
 
-def _ordered(line: Column, classes: Column) -> Column:
-    """A line's distinct words as longs that sort by rarity: the class above 48 bits of hash."""
+    block = F.shiftright("slot", 12).alias("block")
+    blocks = shades.groupBy(block).agg(strung("slot", "shade").alias("shades"))
+    return scratch.save(blocks.agg(strung("block", "shades").cast("binary").alias("rarity")))
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rank = F.get(classes, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int"))
-        return F.shiftleft(rank, 48).bitwiseOR(F.shiftrightunsigned(h, 16))
 
-    blank = key(F.lit(""))
-    return F.sort_array(F.array_remove(F.array_distinct(F.transform(_words(line), key)), blank))
+def _slot(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(SLOTS - 1))
 
 
-def _literal(classes: list[int]) -> Column:
-    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")
+def _ordered(rows: DataFrame, line: str, rarity: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and ``set``, a line's distinct words as longs that sort by rarity: the shade above 48 bits of hash."""
+
+    def key(w: Column) -> Column:
+        h = F.xxhash64(w)
+        rank = F.ascii(F.substring(F.col("__rarity"), _slot(h).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(rank.cast("long"), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
+
+    words = F.transform(F.array_remove(F.array_distinct(_words(F.col(line))), ""), key)
+    # Above an explode, the optimizer puts the scalar into the expression: one value for a task, not a column of the rows.
+    lines = rows.select(*keep, F.explode(F.array(line)).alias(line))
+    return lines.withColumn("__rarity", rarity.scalar()).select(*keep, F.sort_array(F.array_distinct(words)).alias("set"))
 
 
 def _least(n: Column, share: float) -> Column:
@@ -68,6 +74,30 @@ def _sketch(words: Column) -> Column:
     )
 
 
+def _met(entries: DataFrame, similarity: float) -> DataFrame:
+    """``late, early, apart``: pairs of lines that share enough words at their fronts to be similar, perhaps.
+
+    apart, from 0 to 63, tells what part of their fronts they don't share.
+    """
+    ln, en, lp, ep = (F.col(c) for c in ("l.n", "e.n", "l.pos", "e.pos"))
+    shared = _least(ln + en, similarity / (1 + similarity))
+    fits = (
+        (F.col("l.word") == F.col("e.word"))
+        & (F.col("l.id") > F.col("e.id"))
+        & (F.least(ln, en) >= _least(F.greatest(ln, en), similarity))
+        & (F.least(lp, ep) + 1 + F.least(ln - lp - 1, en - ep - 1) >= shared)
+        & (F.bit_count(F.col("l.sketch").bitwiseXOR(F.col("e.sketch"))) <= ln + en - 2 * shared)
+    )
+    both = entries.alias("l").join(entries.alias("e"), fits)
+    met = both.groupBy(F.col("l.id").alias("late"), F.col("e.id").alias("early"), ln.alias("ln"), en.alias("en"))
+    # Words that are not common to both prefixes are common only if they lie behind the prefix of one of the lines.
+    behind = F.greatest(*[_least(F.col(n), similarity) - 1 for n in ("ln", "en")])
+    enough = F.col("met") + behind >= _least(F.col("ln") + F.col("en"), similarity / (1 + similarity))
+    front = F.least("ln", "en") - _least(F.least("ln", "en"), similarity) + 1
+    apart = F.greatest(F.lit(0), F.lit(63) - F.floor(63 * F.col("met") / front)).cast("long")
+    return met.agg(F.count(F.lit(1)).alias("met")).where(enough).select("late", "early", apart.alias("apart"))
+
+
 def _beside(docs: DataFrame, other: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
     """Documents joined by their key with a table that has one row for each key at most; its columns get two underscores."""
     other = other.toDF(*[f"__{c}" for c in other.columns])
@@ -84,21 +114,23 @@ def removed_lines(
     where the Jaccard similarity of their sets is at least ``similarity``; a line goes if it matches any
     earlier one, whether or not that stays. Repeated rows (same id and text) count as one document.
 
-    Equal sets form a class, represented by its first line, so copies make no pairs. Classes are joined on
-    the rare words at the front of their sets (prefix filter), under the length filter, the positional filter, a
-    bound by 64 parities and one by the number of words that the prefixes share; Jaccard is then computed on the
-    whole sets of what is left. Words are compared by
-    hashes of over 48 bits.
+    Equal sets form a class, represented by its first line, so copies make no pairs. Classes are numbered in the
+    order of their first lines, and joined on the rare words at the front of their sets (prefix filter), under the
+    length filter, the positional filter, a bound by 64 parities and one by the number of words that the prefixes
+    share. One match is enough for a line to go, so each line is first held only against the one with which it shares
+    most of its front; Jaccard is computed on the whole sets. The lines for which that one is no match are then held
+    against all the others. Words are compared by hashes of over 48 bits.
     """
     scratch = Scratch(docs.sparkSession)
-    classes = _literal(rarity_classes(docs, text_col))
+    rarity = rarity_table(docs, scratch, text_col)
     rows = docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc"),
         F.xxhash64(text_col).alias("body"),
         F.posexplode(F.split(F.lower(F.col(text_col)), "\n")).alias("no", "line"),
     )
+    sets = _ordered(rows, "line", rarity, [*KEY, "no"])
     # explode(array(x)) has x computed once, however often it is used below
-    sets = rows.select(*KEY, "no", F.explode(F.array(_ordered(F.col("line"), classes))).alias("set"))
+    sets = sets.select(*KEY, "no", F.explode(F.array("set")).alias("set"))
     sets = sets.withColumn("n", F.size("set"))
     front = F.slice("set", 1, F.col("n") - _least(F.col("n"), similarity) + 1)
     lines = scratch.save(
@@ -116,53 +148,42 @@ def removed_lines(
         lines.select("key", *KEY, "no").join(firsts.select("key", "at"), "key").where(place != F.col("at")).select(*KEY, "no")
     )
     scratch.drop(lines)
-    entries = firsts.select("key", "n", "sketch", F.posexplode("front").alias("pos", "word"))
-    x, y = entries.alias("x"), entries.alias("y")
-    xn, yn, xp, yp = (F.col(c) for c in ("x.n", "y.n", "x.pos", "y.pos"))
-    shared = _least(xn + yn, similarity / (1 + similarity))
-    fits = (
-        (F.col("x.word") == F.col("y.word"))
-        & ((xn > yn) | ((xn == yn) & (F.col("x.key") > F.col("y.key"))))
-        & (yn >= _least(xn, similarity))
-        & (F.least(xp, yp) + 1 + F.least(xn - xp - 1, yn - yp - 1) >= shared)
-        & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= xn + yn - 2 * shared)
-    )
-    met = x.join(y, fits).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b"), xn.alias("an"), yn.alias("bn"))
-    # Words that are not common to both prefixes are common only if they lie behind the prefix of one of the lines.
-    behind = F.greatest(*[_least(F.col(n), similarity) - 1 for n in ("an", "bn")])
-    enough = F.col("met") + behind >= _least(F.col("an") + F.col("bn"), similarity / (1 + similarity))
-    pairs = scratch.save(met.agg(F.count(F.lit(1)).alias("met")).where(enough).select("a", "b"))
-    places = firsts.select("key", "at")
-    turned = F.col("at_a") > F.col("at_b")
-    ends = pairs.join(places.toDF("a", "at_a"), "a").join(places.toDF("b", "at_b"), "b")
-    pairs = scratch.save(
-        ends.select(
-            F.when(turned, F.col("a")).otherwise(F.col("b")).alias("late"),
-            F.when(turned, F.col("b")).otherwise(F.col("a")).alias("early"),
-            F.when(turned, F.col("at_b")).otherwise(F.col("at_a")).alias("at"),
-        )
+    ranked = scratch.save(
+        firsts.orderBy("at").select(F.monotonically_increasing_id().alias("id"), "at", "n", "sketch", "front")
     )
-    wanted = pairs.select(F.explode(F.array("late", "early")).alias("key")).distinct()
-    spots = places.join(wanted, "key").groupBy("at.doc", "at.body").agg(F.collect_list(F.struct("at.no", "key")).alias("spots"))
+    scratch.drop(firsts)
+
+    def entries(of: DataFrame) -> DataFrame:
+        return of.select("id", "n", "sketch", F.posexplode("front").alias("pos", "word"))
+
+    pairs = scratch.save(_met(entries(ranked), similarity))
+    best = pairs.groupBy("late").agg(F.min(F.shiftleft("apart", APART_AT).bitwiseOR(F.col("early"))).alias("best"))
+    best = scratch.save(best.select("late", F.col("best").bitwiseAND(F.lit((1 << APART_AT) - 1)).alias("early")))
     text = F.split(F.lower(F.col(text_col)), "\n")
-    whole = scratch.save(
-        _beside(docs.select(id_col, text_col), spots, id_col, text_col, "inner")
-        .select(text.alias("lines"), F.explode("__spots").alias("spot"))
-        .select("spot.key", F.get("lines", "spot.no").alias("line"))
-        .dropDuplicates(["key"])
-        .select("key", F.explode(F.array(_ordered(F.col("line"), classes))).alias("set"))
-    )
 
-    def verified(some: DataFrame) -> DataFrame:
-        both = some.join(whole.toDF("late", "set"), "late").join(whole.toDF("early", "other"), "early")
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("late", "early")).alias("id")).distinct()
+        spots = ranked.select("id", "at").join(wanted, "id")
+        spots = spots.groupBy("at.doc", "at.body").agg(F.collect_list(F.struct("at.no", "id")).alias("spots"))
+        lines = (
+            _beside(docs.select(id_col, text_col), spots, id_col, text_col, "inner")
+            .select(text.alias("lines"), F.explode("__spots").alias("spot"))
+            .select("spot.id", F.get("lines", "spot.no").alias("line"))
+            .dropDuplicates(["id"])
+        )
+        whole = scratch.save(_ordered(lines, "line", rarity, ["id"]))
+        both = pairs.join(whole.toDF("late", "set"), "late").join(whole.toDF("early", "other"), "early")
         common = F.size(F.array_intersect("set", "other"))
-        return both.where(common >= _least(F.size("set") + F.size("other") - common, similarity)).select("late").distinct()
-
-    # One match is enough: the earliest candidate settles most lines, the others are needed for the rest only.
-    best = pairs.groupBy("late").agg(F.min(F.struct("at", "early")).alias("e")).select("late", "e.early")
-    settled = scratch.save(verified(best))
-    late = settled.union(verified(pairs.select("late", "early").join(settled, "late", "left_anti")))
-    gone = repeats.union(places.join(late.withColumnRenamed("late", "key"), "key").select("at.doc", "at.body", "at.no"))
+        fits = common >= _least(F.size("set") + F.size("other") - common, similarity)
+        matched = scratch.save(both.where(fits).select("late").distinct())
+        scratch.drop(whole)
+        return matched
+
+    late = verified(best)
+    others = pairs.select("late", "early").join(late, "late", "left_anti").join(best, ["late", "early"], "left_anti")
+    late = late.union(verified(scratch.save(others)))
+    places = ranked.select("id", "at")
+    gone = repeats.union(places.join(late.withColumnRenamed("late", "id"), "id").select("at.doc", "at.body", "at.no"))
     return gone.groupBy(*KEY).agg(F.collect_set("no").alias("gone"))
 
 
