@@ -173,7 +173,7 @@ def _found(text: Column, items: list[tuple[int, str]], width: int, similarity: f
                 dtype="object",
             )
 
-    return found(text)
+    return found.asNondeterministic()(text)  # else filters on the result may run it a second time
 
 
 def with_leaks(
