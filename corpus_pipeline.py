@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import decontam, langid, linededup, mixing, simhash
+from revlens.llm import decontam, langid, linededup, mixing, shingles
 from revlens.llm.common import Scratch, held_out
 
 MIN_MARGIN = 0.002
@@ -24,8 +24,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each SimHash group."""
-    return simhash.simhash_dedup(docs)
+    """Keeps one document, that of the smallest id, of each group linked by Jaccard similarity of 0.8 of five-word shingles."""
+    return shingles.near_dedup(docs, 0.8, 5)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
