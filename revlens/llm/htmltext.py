@@ -138,15 +138,16 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
-def best_node(root: Node) -> Node:
-    """The subtree with the greatest density sum, found by composite text density.
+def _measured(root: Node) -> tuple[list[Node], Node]:
+    """Elements with their densities and sums, and the one of the greatest sum, the topmost of equals.
 
     Density of a node: visible characters per element below it, times the share of them outside links
-    (the more elements are links, the more that share counts). A node's sum adds up its children's densities. Going
-    from the node of the greatest sum up to the body, the least density met on the way is the page's threshold;
-    of the nodes that reach it, the one of the greatest sum is taken, the topmost of equals.
+    (the more elements are links, the more that share counts). A node's sum adds up its children's densities.
     """
     nodes = _walk(root)
+    for node in nodes:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = node.total = 0.0
     for node in reversed(nodes):
         node.chars += sum(len(SPACE.sub(" ", x).strip()) for x in node.items if isinstance(x, str))
         if node.tag == "a":
@@ -159,18 +160,50 @@ def best_node(root: Node) -> Node:
             node.up.link_chars += node.link_chars
             node.up.link_tags += node.link_tags
             node.up.total += node.density
+    return nodes, max([x for x in nodes if x.chars] or [root], key=lambda x: x.total)
+
+
+def best_nodes(root: Node) -> list[Node]:
+    """Roots of the main text, in page order, found by composite text density (see :func:`_measured`).
+
+    Going from the node of the greatest sum up to the body, the least density met on the way is the page's threshold.
+    Every node that reaches it, and all those above it up to the body do too, gives the subtree of the greatest sum in it.
+    """
+    nodes, top = _measured(root)
     body = next((x for x in nodes if x.tag == "body"), root)
-    inside = [x for x in nodes if x.chars] or [root]
-    top = max(inside, key=lambda x: x.total)
     threshold, node = top.density, top
     while node is not body and node.up:
         node = node.up
         threshold = min(threshold, node.density)
-    best = max((x for x in inside if x.density >= threshold), key=lambda x: x.total, default=top)
-    named = best  # what the page itself calls its article holds its heading too
-    while named.up and named.tag not in ("article", "main"):
-        named = named.up
-    return named if named.up else best
+    start = node
+    richest = {}  # of each subtree; the topmost, then the first of equals
+    for node in reversed(nodes):
+        own = richest[node] = max(richest.get(node, node), node, key=lambda x: (x.total, x is node)) if node.chars else node
+        if node.up and node.chars:
+            other = richest.get(node.up)
+            if other is None or own.total >= other.total:
+                richest[node.up] = own
+    taken, open_ = {top}, {start}
+    for node in nodes:
+        if node is start or (node.up in open_ and node.chars and node.density >= threshold):
+            open_.add(node)
+            taken.add(richest[node])
+
+    def named(node: Node) -> Node | None:
+        while node and node.tag not in ("article", "main"):
+            node = node.up
+        return node
+
+    if named(top):  # what the page itself calls its article holds its heading too
+        taken = {x for node in taken if (x := named(node))}
+    out, inside = [], set()
+    for node in nodes:
+        if node.up in inside:
+            inside.add(node)
+        elif node in taken:
+            inside.add(node)
+            out.append(node)
+    return out
 
 
 def _blocks(root: Node) -> Iterator[str]:
@@ -200,7 +233,8 @@ def extract(page: str | None) -> str:
     """Main text of one page; null, empty and textless pages give an empty text."""
     if not page:
         return ""
-    return "\n".join(_blocks(best_node(parse(page))))
+    root = parse(page)
+    return "\n".join(x for node in best_nodes(root) for x in _blocks(node))
 
 
 def main_text(page: Column) -> Column:
