@@ -41,35 +41,48 @@ ASIDE_WORDS = frozenset(
     "recommendations comment comments disqus respond reply replies widget toolbar pagination pager skip "
     "complementary contentinfo search".split()
 )
+# Words that may stand beside those without changing what is marked ("site-footer", but not "has-sidebar").
+BESIDE_WORDS = frozenset(
+    "site page global main primary secondary top bottom left right side box block container wrapper wrap inner outer "
+    "section area list links item bar row col column text".split()
+)
+SMALL = 0.1  # of the densest text: what stands outside a marked wrapper, if it is less
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
 )
-MARKS = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "aside", "items", "up", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "aside", "items", "up", "chars", "tags", "link_chars", "link_tags", "density", "total", "marked")
 
-    def __init__(self, tag: str, up: Node | None, aside: bool = False):
-        self.tag, self.up, self.aside = tag, up, aside
+    def __init__(self, tag: str, up: Node | None, aside: bool = False, marked: bool = False):
+        self.tag, self.up, self.aside, self.marked = tag, up, aside, marked
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _is_aside(tag: str, attributes: str) -> bool:
-    if tag in ASIDE:
-        return True
-    for name, value in MARKS.findall(attributes):
+def _marks(token: str) -> bool:
+    """Whether a whole class, id or role names something that isn't main text."""
+    words = set(re.split(r"[^a-z]+", token)) - {""}
+    return not ASIDE_WORDS.isdisjoint(words) and words <= ASIDE_WORDS | BESIDE_WORDS
+
+
+def _is_aside(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is never main text; whether it is only marked as something else (see :func:`settle`)."""
+    if tag in ASIDE and tag != "form":
+        return True, False
+    marked = tag == "form"  # some pages are one form
+    for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id", "role") and not ASIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            return True, False
+        marked |= name in ("class", "id", "role") and any(map(_marks, value.split()))
+    return False, marked
 
 
 def parse(page: str) -> Node:
@@ -112,7 +125,7 @@ def parse(page: str) -> Node:
                 node = node.up
             if node.tag in own:
                 at = close(node)
-        node = Node(tag, at, tag not in ("html", "body", "article", "main") and _is_aside(tag, found[3]))
+        node = Node(tag, at, *(() if tag in ("html", "body", "article", "main") else _is_aside(tag, found[3])))
         at.items.append(node)
         if tag in RAW:
             last = re.compile(f"</{re.escape(tag)}", re.IGNORECASE).search(page, end)
@@ -163,6 +176,36 @@ def _measured(root: Node) -> tuple[list[Node], Node]:
     return nodes, max([x for x in nodes if x.chars] or [root], key=lambda x: x.total)
 
 
+def settle(root: Node) -> None:
+    """Makes marked elements aside, but not wrappers of the densest text.
+
+    A marked element around the densest text stays, from the outermost in, unless more than half of it is links, as long as
+    what stands outside the marks is small against that text, or while it holds the only article of the page.
+    """
+    nodes, top = _measured(root)
+    if not (marked := [x for x in nodes if x.marked]):
+        return
+    around, node, most = [], top, top.total or top.chars
+    heir = {x.up: x for x in nodes if x.up and 2 * x.chars > x.up.chars}
+    while node in heir:  # down to what has most of the text
+        node = heir[node]
+    while node:
+        if node.marked and 2 * node.link_chars <= node.chars:
+            around.append(node)
+        node = node.up
+    for node in marked:
+        node.aside = True
+    for left in range(8, -1, -1):  # wrappers in wrappers: a few one by one, then the rest at once
+        if not around:
+            break
+        seen, best = _measured(root)
+        named = any(x.tag in ("article", "main") and x.chars for x in seen)
+        if named or (best.total or best.chars) >= SMALL * most:
+            break
+        for _ in range(1 if left else len(around)):
+            around.pop().aside = False
+
+
 def best_nodes(root: Node) -> list[Node]:
     """Roots of the main text, in page order, found by composite text density (see :func:`_measured`).
 
@@ -234,6 +277,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    settle(root)
     return "\n".join(x for node in best_nodes(root) for x in _blocks(node))
 
 

@@ -1,4 +1,6 @@
-"""Main text that is split over siblings."""
+"""Main text that is split over siblings, and elements that only look marked as something else."""
+
+import pytest
 
 from revlens.llm.htmltext import extract
 
@@ -21,3 +23,32 @@ def test_articles_beside_each_other():
     parts = [paragraphs(x) for x in ("one", "two")]
     page = "<body>" + "".join(f"<article><h1>Head</h1>{h}</article>" for h, _ in parts) + f"<div>{paragraphs('no')[0]}</div></body>"
     assert extract(page).split("\n") == [x for _, ts in parts for x in ["Head", *ts]]
+
+
+@pytest.mark.parametrize(
+    "name", ["page has-sidebar", "content no-header", "layout with-footer", "sidebar", "main-nav page", "site-footer"]
+)
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_marked_wrappers(name, tag):
+    h, texts = paragraphs("text")
+    inner = f"<{tag}>{h}</{tag}>"
+    assert extract(f"<body><p>Small</p><div class='{name}'>{inner}<div class=comments>{h * 3}</div></div></body>").split("\n") == texts
+    assert extract(f"<body><form><div id=x><div class='{name}'>{inner}</div></div></form></body>").split("\n") == texts
+
+
+def test_marks_in_other_attributes():
+    h, texts = paragraphs("text", 3)
+    words = "<p title='hidden gems'>With <a href='/x?id=search'>a link</a> and <a data-class=nav href='?class=ad' alt=\"role=menu\">one more</a> in it.</p>"
+    assert extract(f"<body><div>{h}{words}</div></body>").split("\n") == [*texts, "With a link and one more in it."]
+
+
+@pytest.mark.parametrize("mark", ["class='post comments'", "id=cookie-notice", "class=site-footer", "role=navigation", "hidden", "class=ad-1"])
+def test_marked_elements_still_go(mark):
+    h, texts = paragraphs("text", 3)
+    other = paragraphs("no", 8)[0]
+    assert extract(f"<body><div>{h}</div><div {mark}>{other}</div></body>").split("\n") == texts
+    assert extract(f"<body><div>{h}<div {mark}>{other}</div></div></body>").split("\n") == texts
+
+
+def test_many_nested_wrappers_take_linear_time():
+    assert extract("<div class=sidebar>" * 20_000 + "deep text") == "deep text"
