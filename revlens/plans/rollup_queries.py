@@ -528,10 +528,11 @@ def l02_bm25(spark, sf_dir):
 
 @book.add()
 def l01_tfidf_search(spark, sf_dir):
-    """For each benchmark item the most alike conversation openings by n-gram TF-IDF."""
+    """For each benchmark item the most alike turns of conversations by n-gram TF-IDF."""
     t = Tables(spark, sf_dir)
-    docs = t.conversations.where("turn = 0").select("conv_id", "text")
-    return retrieval.tfidf_search(docs, t.benchmark.select("item_id", "text"), "conv_id", "item_id", "text", 3)
+    docs = t.conversations.select(F.struct("conv_id", "turn").alias("key"), "text")
+    found = retrieval.tfidf_search(docs, t.benchmark.select("item_id", "text"), "key", "item_id", "text", 3)
+    return found.select("item_id", "key.conv_id", "key.turn", "score", "rank")
 
 
 @book.add("""
