@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -79,6 +80,17 @@ def ratio(a: Column, b: Column) -> Column:
     return similarity(a, b)
 
 
+def shared_characters(a: Column, b: Column) -> Column:
+    """Characters that two strings have in common, counted: no matching of theirs is longer."""
+
+    @F.pandas_udf("long")
+    def shared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in batches:
+            yield pd.Series([(Counter(p or "") & Counter(q or "")).total() for p, q in zip(x, y, strict=True)], dtype="int64")
+
+    return shared(a, b)
+
+
 def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
     """Character n-grams within words, each word padded by a blank on both sides; short words give themselves."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")

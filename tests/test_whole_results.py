@@ -1,6 +1,8 @@
 """Queries that took a part of their rows, against brute force over all of them."""
 
+import difflib
 import math
+import random
 from collections import Counter
 
 from revlens import catalog
@@ -35,3 +37,21 @@ def test_tfidf_search_finds_all_turns(spark, tmp_path):
         want |= {(item, *key, rank) for rank, (_, key) in enumerate(sorted(scores)[:3], 1)}
     got = {(r.item_id, r.conv_id, r.turn, r["rank"]) for r in catalog.queries()["l01_tfidf_search"](spark, str(tmp_path)).collect()}
     assert got == want and {k for _, _, k, _ in got} == {0, 1, 2}
+
+
+def test_mutual_best_of_whole_texts_and_all_turns(spark, tmp_path):
+    rng = random.Random(6)
+    say = lambda n: " ".join(rng.choice(["plan", "wall", "door", "beam", "of", "note", "axis", "level", "duct", "x1"]) for _ in range(n))
+    items = [(k, "same opening words for every one of these items, all of sixty characters " + say(20)) for k in range(8)]
+    turns = [(c, k, say(rng.randint(1, 25))) for c in range(30) for k in range(4)]
+    turns += [(50 + k, 3, text[:-6] + "end") for k, text in items] + [(70, 0, ""), (71, 5, items[0][1])]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    score = {(i, c * 1000 + k): round(difflib.SequenceMatcher(None, a, b).ratio(), 6) if b else 0.0 for i, a in items for c, k, b in turns}
+    want = {}
+    for (i, n), s in score.items():
+        others = [t for (j, m), t in score.items() if (j == i) != (m == n)]
+        if s >= 0.3 and all(s - t >= 0.01 for t in others):
+            want[i, n] = s
+    got = {(r.old_id, r.new_id): r.score for r in catalog.queries()["j06_mutual_best"](spark, str(tmp_path)).collect()}
+    assert got == want and len(want) >= 4
