@@ -97,6 +97,17 @@ def natural_key(text: Column) -> tuple[Column, Column, Column]:
     return F.when(digits == "", 1).otherwise(0), F.try_to_number(digits, F.lit("999999999999")).cast("long"), text
 
 
+def placed(df: DataFrame, keys: list[Column], id_col: str, name: str = "place") -> DataFrame:
+    """``id_col, name``: every row's place from 1 in the order of ``keys`` and then the id.
+
+    A range-partitioned sort; the rows of each range are counted and the counts of those before it added.
+    """
+    rows = df.orderBy(*keys, id_col).select(id_col)
+    schema = f"{id_col} {rows.schema[id_col].dataType.simpleString()}, {name} long"
+    numbered = rows.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1))
+    return df.sparkSession.createDataFrame(numbered, schema)
+
+
 def chain(df: DataFrame, by: list[str], order: list[str], id_col: str) -> DataFrame:
     """``df`` with the row before it in its group and whether it is the last."""
     w = Window.partitionBy(*by).orderBy(*order, id_col)

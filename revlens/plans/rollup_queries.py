@@ -357,6 +357,15 @@ def w13_natural_sort(spark, sf_dir):
     return top.select("p_partkey", F.row_number().over(Window.orderBy(*keys, "p_partkey")).alias("place"))
 
 
+@book.add("""
+SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN regexp_extract(p_type, '[0-9]+') = '' THEN 1 ELSE 0 END, TRY_CAST(regexp_extract(p_type, '[0-9]+') AS BIGINT) NULLS FIRST, p_type, p_partkey) AS place
+FROM part
+""")
+def w13_natural_sort_all(spark, sf_dir):
+    """All rows in the order of w13_natural_sort, whose SQL ends at 100."""
+    return ordered.placed(Tables(spark, sf_dir).part, list(ordered.natural_key(F.col("p_type"))), "p_partkey")
+
+
 @book.add("""
 SELECT o_orderkey, lag(o_orderkey) OVER w AS previous, lead(o_orderkey) OVER w IS NULL AS is_latest FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
 """)

@@ -3,9 +3,11 @@
 import difflib
 import math
 import random
+import re
 from collections import Counter
 
 from revlens import catalog
+from revlens.operators import ordered
 
 
 def grams(text):
@@ -55,3 +57,19 @@ def test_mutual_best_of_whole_texts_and_all_turns(spark, tmp_path):
             want[i, n] = s
     got = {(r.old_id, r.new_id): r.score for r in catalog.queries()["j06_mutual_best"](spark, str(tmp_path)).collect()}
     assert got == want and len(want) >= 4
+
+
+def test_natural_sort_places_all_rows(spark, tmp_path):
+    rng = random.Random(7)
+    parts = [(k, rng.choice(["M", "", "bolt ", "A-"]) + rng.choice(["", str(rng.randrange(30)), f"{rng.randrange(9)}x2"])) for k in range(700)]
+    spark.createDataFrame(parts, "p_partkey long, p_type string").repartition(5).write.parquet(f"{tmp_path}/part.parquet")
+
+    def key(part):
+        digits = re.search("[0-9]+", part[1])
+        return (0, int(digits[0]), part[1], part[0]) if digits else (1, 0, part[1], part[0])
+
+    want = {p[0]: place for place, p in enumerate(sorted(parts, key=key), 1)}
+    got = catalog.queries()["w13_natural_sort_all"](spark, str(tmp_path)).collect()
+    assert {r.p_partkey: r.place for r in got} == want and len(got) == 700
+    empty = spark.createDataFrame([], "p_partkey long, p_type string")
+    assert ordered.placed(empty, list(ordered.natural_key(empty.p_type)), "p_partkey").count() == 0
