@@ -535,6 +535,20 @@ def l02_bm25(spark, sf_dir):
     return retrieval.bm25(t.documents, t.benchmark.where("item_id < 20"), "doc_id", "item_id", "text", 3)
 
 
+@book.add(r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9à-öø-ÿ]+'), lambda w: w <> '') AS words FROM documents),
+t AS (SELECT doc_id, len(words) AS len, unnest(words) AS term FROM w), a AS (SELECT count(*) AS n_docs, avg(len(words)) AS avg_len FROM w),
+q AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9à-öø-ÿ]+'), lambda w: w <> '')) AS term FROM benchmark),
+p AS (SELECT doc_id, term, len, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM p JOIN f USING (term) JOIN q USING (term), a GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 3
+""")
+def l02_bm25_all(spark, sf_dir):
+    """As l02_bm25, whose SQL ends at item 20, for all benchmark items."""
+    t = Tables(spark, sf_dir)
+    return retrieval.bm25(t.documents, t.benchmark, "doc_id", "item_id", "text", 3)
+
+
 @book.add()
 def l01_tfidf_search(spark, sf_dir):
     """For each benchmark item the most alike turns of conversations by n-gram TF-IDF."""

@@ -73,3 +73,10 @@ def test_natural_sort_places_all_rows(spark, tmp_path):
     assert {r.p_partkey: r.place for r in got} == want and len(got) == 700
     empty = spark.createDataFrame([], "p_partkey long, p_type string")
     assert ordered.placed(empty, list(ordered.natural_key(empty.p_type)), "p_partkey").count() == 0
+
+
+def test_bm25_answers_all_items(spark):
+    folder = "/root/testdata/sf0.001"
+    asked = {r.item_id for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
+    got = {r.item_id for r in catalog.queries()["l02_bm25_all"](spark, folder).collect()}
+    assert got == asked and len(got) == 40
