@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from .common import WORD_BREAKS, Scratch
+from .common import WORD_BREAKS, WORDS, Scratch
 
 SLOTS = 1 << 21
 KEY = ["doc", "body"]
-APART_AT = 57  # ids made by Spark stay below this bit for 16 million partitions
+SHADE_AT = 58  # bits of a word's hash below its rarity
+SHARED_SHADE = 3  # of a slot with more than its seeded row and one word: words below are in one line only
+LEADERS = 16
+WAYS = 4
 
 
 def _words(text: Column, plain: Column | None = None) -> Column:
@@ -20,43 +24,34 @@ def _words(text: Column, plain: Column | None = None) -> Column:
     return F.when(odd, F.split(text, WORD_BREAKS)).otherwise(F.split(text if plain is None else plain, " "))
 
 
+def _slot(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(SLOTS - 1))
+
+
 def rarity_table(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
-    """How common the words of all ``docs`` are: one row with a byte for each of 2,097,152 hash slots.
+    """How common the words of all ``docs`` are: one row, an array of a byte for each of 2,097,152 hash slots.
 
-    Counts are taken over every word of every text; the byte is 48 plus twice the binary logarithm of a slot's
-    count. The table has a fixed size (2 MB) whatever the corpus. Any order of the words makes the join exact;
+    Counts are taken over every word of every text; the byte is twice the binary logarithm of a slot's count, 63 at
+    most. The table has a fixed size (2 MB) whatever the corpus. Any order of the words makes the join exact;
     this one makes it cheap.
     """
     text = F.lower(F.col(text_col))
     words = docs.select(F.explode(_words(text, F.replace(text, F.lit("\n"), F.lit(" ")))).alias("w"))
     slots = words.select(_slot(F.xxhash64("w")).alias("slot")).union(docs.sparkSession.range(SLOTS))  # each at least once
-    shade = F.chr(48 + F.least(F.floor(2 * F.log2("n")), F.lit(77)))
+    shade = F.least(F.floor(2 * F.log2("n")), F.lit(63)).cast("tinyint")
     shades = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).select("slot", shade.alias("shade"))
 
     def strung(at: str, part: str) -> Column:
-        return F.array_join(F.sort_array(F.collect_list(F.struct(at, part))).getField(part), "")
+        return F.sort_array(F.collect_list(F.struct(at, part))).getField(part)
 
     block = F.shiftright("slot", 12).alias("block")
     blocks = shades.groupBy(block).agg(strung("slot", "shade").alias("shades"))
-    return scratch.save(blocks.agg(strung("block", "shades").cast("binary").alias("rarity")))
-
-
-def _slot(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(SLOTS - 1))
-
+    return scratch.save(blocks.agg(F.flatten(strung("block", "shades")).alias("rarity")))
 
-def _ordered(rows: DataFrame, line: str, rarity: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and ``set``, a line's distinct words as longs that sort by rarity: the shade above 48 bits of hash."""
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rank = F.ascii(F.substring(F.col("__rarity"), _slot(h).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(rank.cast("long"), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
-
-    words = F.transform(F.array_remove(F.array_distinct(_words(F.col(line))), ""), key)
-    # Above an explode, the optimizer puts the scalar into the expression: one value for a task, not a column of the rows.
-    lines = rows.select(*keep, F.explode(F.array(line)).alias(line))
-    return lines.withColumn("__rarity", rarity.scalar()).select(*keep, F.sort_array(F.array_distinct(words)).alias("set"))
+def _hashed(line: Column) -> Column:
+    """A line's distinct words as 64-bit hashes."""
+    return F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _least(n: Column, share: float) -> Column:
@@ -74,28 +69,109 @@ def _sketch(words: Column) -> Column:
     )
 
 
-def _met(entries: DataFrame, similarity: float) -> DataFrame:
-    """``late, early, apart``: pairs of lines that share enough words at their fronts to be similar, perhaps.
+def _shared(n: Column, m: Column, similarity: float) -> Column:
+    """Words that sets of n and m words must have in common."""
+    return _least(n + m, similarity / (1 + similarity))
+
+
+def _may_match(a: str, b: str, similarity: float) -> Column:
+    """Length filter and the bound by parities for rows a and b with n and sketch; different sets differ in a word at least."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = n + m - 2 * _shared(n, m, similarity)
+    return (
+        (F.least(n, m) >= _least(F.greatest(n, m), similarity))
+        & (apart > 0)
+        & (F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch"))) <= apart)
+    )
+
+
+def line_classes(docs: DataFrame, scratch: Scratch, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """``id, doc, body, no, n, sketch, front``: the first line of each word set; ids follow their order.
 
-    apart, from 0 to 63, tells what part of their fronts they don't share.
+    front holds the rarest words with their places (pos), without those that occur once in all ``docs``: they meet nobody.
     """
+    rarity = rarity_table(docs, scratch, text_col)
+    rows = docs.where(F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("doc"),
+        F.xxhash64(text_col).alias("body"),
+        F.posexplode(F.split(F.lower(F.col(text_col)), "\n")).alias("no", "line"),
+    )
+    # explode(array(x)) has x computed once, however often it is used below
+    rows = rows.select(*KEY, "no", F.explode(F.array(_hashed(F.col("line")))).alias("hashes")).where(F.size("hashes") > 0)
+
+    def by_rarity(h: Column) -> Column:
+        shade = F.get(F.col("__rarity"), _slot(h).cast("int")).cast("long")
+        return F.shiftleft(shade, SHADE_AT).bitwiseOR(F.shiftrightunsigned(h, 64 - SHADE_AT))
+
+    # In a plain projection the scalar is one value for a task; below an explode it would be a column of every row.
+    sets = rows.withColumn("__rarity", rarity.scalar()).select(
+        *KEY, "no", F.size("hashes").alias("n"), _sketch(F.col("hashes")).alias("sketch"),
+        F.sort_array(F.transform("hashes", by_rarity)).alias("set"),
+    )
+    front = F.slice("set", 1, F.col("n") - _least(F.col("n"), similarity) + 1)
+    front = F.transform(front, lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
+    front = F.filter(front, lambda x: x["word"] >= F.lit(SHARED_SHADE << SHADE_AT))
+    keyed = sets.select(
+        F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), "set").alias("k2"),
+        F.struct(*KEY, "no", "n", "sketch", front.alias("front")).alias("f"),
+    )
+    firsts = keyed.groupBy("k1", "k2").agg(F.min("f").alias("f"))
+    firsts = scratch.save(firsts.select("f.*"))
+    ranked = scratch.save(firsts.orderBy(*KEY, "no").withColumn("id", F.monotonically_increasing_id()))
+    scratch.drop(firsts)
+    scratch.drop(rarity)
+    return ranked
+
+
+def likely_matches(classes: DataFrame, similarity: float) -> DataFrame:
+    """``late, early``: for each class the two most alike earlier ones among the leaders of its groups.
+
+    A class is in four groups, each named by the least of its front's words in an order of that group's own. Leaders of a
+    group are 16 of its classes, the earliest of a quarter (another for each way), then the others. That is two rows at most for a class, however large its groups.
+    """
+
+    def least(way: int) -> Column:
+        return F.array_min(F.transform("front.word", lambda w: F.xxhash64(F.lit(way), w)))
+
+    members = classes.select("id", "n", "sketch", F.posexplode(F.array(*map(least, range(WAYS)))).alias("way", "name"))
+    members = members.where("name is not null")
+    own_turn = F.pmod(F.xxhash64("id"), F.lit(WAYS)) == F.col("way")  # so that a class in all groups of a way finds others there
+    order = Window.partitionBy("way", "name").orderBy(~own_turn, "id")
+    leaders = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= LEADERS)
+    own, e = members.alias("l"), leaders.alias("e")
+    near = own.join(
+        e,
+        (F.col("l.way") == F.col("e.way")) & (F.col("l.name") == F.col("e.name")) & (F.col("e.id") < F.col("l.id"))
+        & _may_match("l", "e", similarity),
+    )
+    apart = F.bit_count(F.col("l.sketch").bitwiseXOR(F.col("e.sketch")))
+    best = near.groupBy(F.col("l.id").alias("late")).agg(F.collect_set(F.struct(apart.alias("apart"), F.col("e.id").alias("early"))).alias("s"))
+    return best.select("late", F.explode(F.slice(F.sort_array("s"), 1, 2).getField("early")).alias("early"))
+
+
+def candidates(classes: DataFrame, settled: DataFrame, similarity: float) -> DataFrame:
+    """``late, early``: all pairs of classes that share enough words at their fronts to be similar, perhaps, but for settled lates.
+
+    Prefix, length and positional filter, the bound by parities, and one by how many words the fronts share. A settled class
+    stays on the early side. Both sides are the same rows, so they are shuffled once.
+    """
+    done = settled.select(F.col("late").alias("id"), F.lit(1).cast("long").alias("done"))
+    coded = classes.join(done, "id", "left").withColumn("code", 2 * F.col("id") + F.coalesce("done", F.lit(0)))
+    entries = coded.select("code", "n", "sketch", F.explode("front").alias("f")).select("code", "n", "sketch", "f.pos", "f.word")
+    own, other = entries.alias("l"), entries.alias("e")
     ln, en, lp, ep = (F.col(c) for c in ("l.n", "e.n", "l.pos", "e.pos"))
-    shared = _least(ln + en, similarity / (1 + similarity))
+    late, early = F.col("l.code"), F.shiftright("e.code", 1)
     fits = (
         (F.col("l.word") == F.col("e.word"))
-        & (F.col("l.id") > F.col("e.id"))
-        & (F.least(ln, en) >= _least(F.greatest(ln, en), similarity))
-        & (F.least(lp, ep) + 1 + F.least(ln - lp - 1, en - ep - 1) >= shared)
-        & (F.bit_count(F.col("l.sketch").bitwiseXOR(F.col("e.sketch"))) <= ln + en - 2 * shared)
+        & (early < F.when(late % 2 == 0, F.shiftright(late, 1)).otherwise(-1))
+        & (F.least(lp, ep) + 1 + F.least(ln - lp - 1, en - ep - 1) >= _shared(ln, en, similarity))
+        & _may_match("l", "e", similarity)
     )
-    both = entries.alias("l").join(entries.alias("e"), fits)
-    met = both.groupBy(F.col("l.id").alias("late"), F.col("e.id").alias("early"), ln.alias("ln"), en.alias("en"))
+    met = own.join(other, fits).groupBy(F.shiftright(late, 1).alias("late"), early.alias("early"), ln.alias("ln"), en.alias("en"))
     # Words that are not common to both prefixes are common only if they lie behind the prefix of one of the lines.
     behind = F.greatest(*[_least(F.col(n), similarity) - 1 for n in ("ln", "en")])
-    enough = F.col("met") + behind >= _least(F.col("ln") + F.col("en"), similarity / (1 + similarity))
-    front = F.least("ln", "en") - _least(F.least("ln", "en"), similarity) + 1
-    apart = F.greatest(F.lit(0), F.lit(63) - F.floor(63 * F.col("met") / front)).cast("long")
-    return met.agg(F.count(F.lit(1)).alias("met")).where(enough).select("late", "early", apart.alias("apart"))
+    enough = F.col("met") + behind >= _shared(F.col("ln"), F.col("en"), similarity)
+    return met.agg(F.count(F.lit(1)).alias("met")).where(enough).select("late", "early")
 
 
 def _beside(docs: DataFrame, other: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
@@ -104,74 +180,35 @@ def _beside(docs: DataFrame, other: DataFrame, id_col: str, text_col: str, how:
     return docs.join(other, F.col(id_col).eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__body")), how)
 
 
-def removed_lines(
+def staying_lines(
     docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``doc, body, gone`` (line numbers from 0) for every document that has lines with a match before them.
+    """``doc, body, stay`` (line numbers from 0) for every document that has lines with words and no match before them.
 
-    A line is the set of its lower-cased words; lines without words never go. Lines stand in the
+    A line is the set of its lower-cased words; lines without words always stay and aren't listed. Lines stand in the
     order of (doc, body, number), null documents first; body is a hash of the document's text. Two lines match
     where the Jaccard similarity of their sets is at least ``similarity``; a line goes if it matches any
     earlier one, whether or not that stays. Repeated rows (same id and text) count as one document.
 
-    Equal sets form a class, represented by its first line, so copies make no pairs. Classes are numbered in the
-    order of their first lines, and joined on the rare words at the front of their sets (prefix filter), under the
-    length filter, the positional filter, a bound by 64 parities and one by the number of words that the prefixes
-    share. One match is enough for a line to go, so each line is first held only against the one with which it shares
-    most of its front; Jaccard is computed on the whole sets. The lines for which that one is no match are then held
-    against all the others. Words are compared by hashes of over 48 bits.
+    Equal sets (128 bits of hash) form a class, represented by its first line, so copies make no pairs. One match is
+    enough for a line to go. So classes are first held against the leaders of groups they belong to
+    (:func:`likely_matches`), which settles the near copies, whose number of pairs would grow with the square of
+    their group. The others are joined with all earlier classes on the rare words at the front of their sets
+    (:func:`candidates`), which loses no match. Jaccard is computed on the words themselves.
     """
     scratch = Scratch(docs.sparkSession)
-    rarity = rarity_table(docs, scratch, text_col)
-    rows = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("doc"),
-        F.xxhash64(text_col).alias("body"),
-        F.posexplode(F.split(F.lower(F.col(text_col)), "\n")).alias("no", "line"),
-    )
-    sets = _ordered(rows, "line", rarity, [*KEY, "no"])
-    # explode(array(x)) has x computed once, however often it is used below
-    sets = sets.select(*KEY, "no", F.explode(F.array("set")).alias("set"))
-    sets = sets.withColumn("n", F.size("set"))
-    front = F.slice("set", 1, F.col("n") - _least(F.col("n"), similarity) + 1)
-    lines = scratch.save(
-        sets.where("n > 0").select(
-            *KEY, "no", F.xxhash64("set").alias("key"), "n", _sketch(F.col("set")).alias("sketch"), front.alias("front")
-        )
-    )
-    place = F.struct(*KEY, "no")
-    firsts = scratch.save(
-        lines.groupBy("key")
-        .agg(F.min(F.struct(*KEY, "no", "n", "sketch", "front")).alias("f"))
-        .select("key", F.struct("f.doc", "f.body", "f.no").alias("at"), "f.n", "f.sketch", "f.front")
-    )
-    repeats = scratch.save(
-        lines.select("key", *KEY, "no").join(firsts.select("key", "at"), "key").where(place != F.col("at")).select(*KEY, "no")
-    )
-    scratch.drop(lines)
-    ranked = scratch.save(
-        firsts.orderBy("at").select(F.monotonically_increasing_id().alias("id"), "at", "n", "sketch", "front")
-    )
-    scratch.drop(firsts)
-
-    def entries(of: DataFrame) -> DataFrame:
-        return of.select("id", "n", "sketch", F.posexplode("front").alias("pos", "word"))
-
-    pairs = scratch.save(_met(entries(ranked), similarity))
-    best = pairs.groupBy("late").agg(F.min(F.shiftleft("apart", APART_AT).bitwiseOR(F.col("early"))).alias("best"))
-    best = scratch.save(best.select("late", F.col("best").bitwiseAND(F.lit((1 << APART_AT) - 1)).alias("early")))
-    text = F.split(F.lower(F.col(text_col)), "\n")
+    classes = line_classes(docs, scratch, similarity, id_col, text_col)
+    lines = F.split(F.lower(F.col(text_col)), "\n")
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("late", "early")).alias("id")).distinct()
-        spots = ranked.select("id", "at").join(wanted, "id")
-        spots = spots.groupBy("at.doc", "at.body").agg(F.collect_list(F.struct("at.no", "id")).alias("spots"))
-        lines = (
-            _beside(docs.select(id_col, text_col), spots, id_col, text_col, "inner")
-            .select(text.alias("lines"), F.explode("__spots").alias("spot"))
-            .select("spot.id", F.get("lines", "spot.no").alias("line"))
-            .dropDuplicates(["id"])
-        )
-        whole = scratch.save(_ordered(lines, "line", rarity, ["id"]))
+        spots = classes.select("id", *KEY, "no").join(wanted, "id")
+        spots = spots.groupBy(*KEY).agg(F.collect_list(F.struct("no", "id")).alias("spots"))
+        found = _beside(docs.select(id_col, text_col), spots, id_col, text_col, "inner")
+        found = found.select(F.explode(F.array(lines)).alias("lines"), "__spots").select("lines", F.explode("__spots").alias("spot"))
+        found = found.select("spot.id", F.get("lines", "spot.no").alias("line")).dropDuplicates(["id"])
+        words = F.array_remove(F.array_distinct(_words(F.col("line"))), "")
+        whole = scratch.save(found.select("id", words.alias("set")))
         both = pairs.join(whole.toDF("late", "set"), "late").join(whole.toDF("early", "other"), "early")
         common = F.size(F.array_intersect("set", "other"))
         fits = common >= _least(F.size("set") + F.size("other") - common, similarity)
@@ -179,12 +216,10 @@ def removed_lines(
         scratch.drop(whole)
         return matched
 
-    late = verified(best)
-    others = pairs.select("late", "early").join(late, "late", "left_anti").join(best, ["late", "early"], "left_anti")
-    late = late.union(verified(scratch.save(others)))
-    places = ranked.select("id", "at")
-    gone = repeats.union(places.join(late.withColumnRenamed("late", "id"), "id").select("at.doc", "at.body", "at.no"))
-    return gone.groupBy(*KEY).agg(F.collect_set("no").alias("gone"))
+    settled = verified(scratch.save(likely_matches(classes, similarity)))
+    rest = verified(scratch.save(candidates(classes, settled, similarity)))
+    firsts = classes.select("id", *KEY, "no").join(settled.union(rest).withColumnRenamed("late", "id"), "id", "left_anti")
+    return firsts.groupBy(*KEY).agg(F.sort_array(F.collect_set("no")).alias("stay"))
 
 
 def with_kept_text(
@@ -192,17 +227,23 @@ def with_kept_text(
 ) -> DataFrame:
     """``docs`` with matched lines taken out of the text, and ``n_lines`` and ``n_removed``.
 
-    See :func:`removed_lines`. The lines that stay keep their order and are joined by line breaks again; a text
-    without removed lines is unchanged, a null text stays null with no lines. Other columns stay.
+    See :func:`staying_lines`. The lines that stay keep their order and are joined by line breaks again; a text
+    without removed lines is unchanged, a null text stays null with no lines. An empty table gives an empty one. Other
+    columns stay, but for those named n_lines and n_removed, which are replaced.
     """
-    gone = removed_lines(docs, similarity, id_col, text_col)
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    stay = staying_lines(docs, similarity, id_col, text_col)
     lines = F.split(F.col(text_col), "\n")
-    stay = F.filter(lines, lambda _, i: ~F.array_contains("__gone", i))
-    kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
-    return _beside(docs.drop("n_lines", "n_removed"), gone, id_col, text_col, "left").select(
-        *[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
-        F.greatest(F.size(lines), F.lit(0)).alias("n_lines"),
-        F.greatest(F.size("__gone"), F.lit(0)).alias("n_removed"),
+    blank = F.transform(lines, lambda line, i: F.when(~line.rlike(WORDS), i))
+    places = F.sort_array(F.concat(F.coalesce("__stay", F.array().cast("array<int>")), F.filter(blank, F.isnotnull)))
+    seen = _beside(docs.select(*own), stay, id_col, text_col, "left").select(*own, F.size(lines).alias("__all"), places.alias("__places"))
+    whole = F.coalesce(F.size("__places") == F.col("__all"), F.lit(True))
+    seen = seen.select(*own, "__all", "__places", F.explode(F.array(F.when(~whole, lines))).alias("__lines"))
+    kept = F.array_join(F.transform("__places", lambda i: F.get("__lines", i)), "\n")
+    return seen.select(
+        *[F.when(F.col("__lines").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in own],
+        F.greatest("__all", F.lit(0)).alias("n_lines"),
+        F.greatest(F.col("__all") - F.size("__places"), F.lit(0)).alias("n_removed"),
     )
 
 

@@ -222,6 +222,31 @@ def test_line_dedup(spark):
     twice = linededup.with_kept_text(df.union(df)).groupBy("doc_id", "text").count().collect()
     assert {(r.doc_id, r.text) for r in twice} == set(got.items()) and {r["count"] for r in twice} == {2}
     assert linededup.dedup_lines(df.where("false")).count() == 0
+    nameless = spark.createDataFrame([(None, rows[5][1]), (None, "words of its own here"), (5, rows[5][1])], df.select("doc_id", "text").schema)
+    first = min(rows[5][1].split("\n"), key=lambda x: not x.strip())
+    left = {(r.doc_id, r.text): r.n_removed for r in linededup.with_kept_text(nameless).collect()}
+    assert left[(None, "words of its own here")] == 0 and sum(1 for d, _ in left if d == 5) == 1 and first is not None
+
+
+def test_line_dedup_large_groups(spark):
+    """Near copies of a line in numbers: results are whole, and pairs grow with the group, not its square."""
+    rng = random.Random(3)
+    bases = [[f"b{g}x{k}" for k in range(n)] for g, n in enumerate((30, 12, 7))]
+    rows = []
+    for i in range(900):
+        words = list(bases[i % 3])
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(2000)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = linededup.with_kept_text(df).where("n_removed = 0")
+    assert {r.doc_id for r in got.collect()} == {d for d, t in line_want(rows).items() if t}
+    scratch = Scratch(spark)
+    classes = linededup.line_classes(df, scratch, 0.8, "doc_id", "text")
+    likely = scratch.save(linededup.likely_matches(classes, 0.8))
+    assert likely.count() <= 2 * classes.count()
+    pairs = linededup.candidates(classes, likely.select("late").distinct(), 0.8).count()
+    assert pairs <= 2 * len(rows)
 
 
 def test_chat_windows(spark):
