@@ -12,24 +12,30 @@ MIN_MARGIN = 0.002
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told by a clear margin; learns from the labelled ones of the training fold."""
+    """Keeps documents whose language is told by a clear margin; learns from the labelled ones of the training fold.
+
+    Null, empty and letterless texts go, as does everything where no label is to learn from. Repeated rows fare alike.
+    """
     known = docs.where(~held_out(F.col("doc_id"), 4, 2))
     seen = langid.identify(docs, langid.fit_dictionaries(known), MIN_MARGIN)
     return seen.where(~F.col("rejected")).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines that match an earlier one; documents with none left go."""
+    """Takes out lines that match an earlier one; documents with none left go. Null and empty texts stay as they are."""
     return linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each group linked by Jaccard similarity of 0.8 of five-word shingles."""
+    """Keeps one document, that of the smallest id, of each group linked by Jaccard similarity of 0.8 of five-word shingles.
+
+    Repeated rows of a kept id, and rows without an id, stay.
+    """
     return shingles.near_dedup(docs, 0.8, 5)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item; null and empty texts hold none, and null items are held by none."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

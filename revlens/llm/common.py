@@ -24,12 +24,14 @@ def hash_share(*cols: Column) -> Column:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); where unset, one of this machine (tests)."""
+    """The shared folder of the cluster (``spark.checkpoint.dir``); where unset, and all of Spark is one process (tests), one of its own."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root is None:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="revlens-")
         spark.sparkContext.setCheckpointDir(root)
     return root

@@ -37,25 +37,28 @@ def fit_dictionaries(
 ) -> dict[str, bytes]:
     """A raw-content dictionary for each language from a bounded sample of labelled rows.
 
-    The sample is ``sample`` documents a language, those least by a hash of their text, of which each gives
-    ``chars`` letters at most (about 240 kB a language). Its draw keeps four times as many by hash share
+    The sample is ``sample`` blocks a language (about 240 kB), those least by a hash of their text, of all blocks of ``chars``
+    characters into which the whole texts are cut; equal blocks count once. Its draw keeps four times as many by hash share
     before it ranks them, so no language is gathered into one task. The number of languages is taken
-    to be small, as that of a label set. Null texts, null languages and texts without letters are skipped.
+    to be small, as that of a label set. Null texts, null languages and texts without letters are skipped; an empty table
+    gives no dictionaries. Repeated rows change nothing but a language's share.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")
-    )
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    text = F.col(text_col)
+    known = docs.where(F.col(lang_col).isNotNull() & (F.length(text) > 0)).select(F.col(lang_col).alias("lang"), text.alias("text"))
+    sizes = known.groupBy("lang").agg(F.sum(F.ceil(F.length("text") / chars)).alias("n"))
     share = {r["lang"]: min(1.0, 4.0 * sample / r["n"]) for r in sizes.collect()}
     if not share:
         return {}
     share_of = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
+    cuts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chars}}}"), F.lit(0))
+    picked = F.filter(cuts, lambda block: hash_share(block, F.lit(2)) < share_of[F.col("lang")])
+    blocks = known.select("lang", F.explode(picked).alias("block")).select("lang", letters(F.col("block")).alias("part"))
     drawn = (
-        known.where(hash_share(F.col("h"), F.lit(2)) < share_of[F.col("lang")])
-        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
+        blocks.where("part <> ''")
+        .distinct()
+        .withColumn("h", F.xxhash64("part"))
+        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part")))
         .where(F.col("rank") <= sample)
-        .select("lang", "h", F.substring(letters(F.col("text")), 1, chars).alias("part"))
-        .where("part <> ''")
     )
     parts: dict[str, list[tuple[int, str]]] = {}
     for r in drawn.collect():
@@ -64,7 +67,7 @@ def fit_dictionaries(
 
 
 def classify(text: Column, dictionaries: dict[str, bytes], block: int = 1500, level: int = 6) -> Column:
-    """struct(lang, score, margin) of a whole text; lang is null where there are no letters or no dictionaries.
+    """struct(lang, score, margin) of a whole text; lang is null where there are no letters (marks alone are none) or no dictionaries.
 
     The letters are cut into blocks of ``block`` bytes; each is compressed against each language's dictionary
     and the sizes are added up, so long texts are weighed in full and no block can lean on another. The
@@ -100,7 +103,7 @@ def classify(text: Column, dictionaries: dict[str, bytes], block: int = 1500, le
         for s in batches:
             yield pd.DataFrame([one(t) for t in s], columns=["lang", "score", "margin"])
 
-    return predict(F.encode(letters(text), "UTF-8"))
+    return predict(F.when(text.rlike(r"\p{L}"), F.encode(letters(text), "UTF-8")))
 
 
 def identify(

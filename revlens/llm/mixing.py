@@ -66,7 +66,7 @@ def mix(
     task: documents are counted by (source, square root of the size, one of 64 hash salts), a window over
     those counts gives the ranks before each bin, and a window within each bin the rest.
 
-    Null text has size 0. A null source is a source of its own. Ties are ordered by id and a hash of the
+    Null text has size 0. A null source is a source of its own. Ties are ordered by id, size and a hash of the
     text, so reruns agree; identical rows share their places. No document is taken more than
     ceil(most) times. Extra columns of docs stay; the four named above are replaced.
     """
@@ -96,7 +96,7 @@ def mix(
             F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__rate"),
         )
     )
-    within = Window.partitionBy("__src", "__bin", "__salt").orderBy(id_col, tie)
+    within = Window.partitionBy("__src", "__bin", "__salt").orderBy(id_col, "size", tie)
     ranked = keyed.withColumn("__rank", F.row_number().over(within)).join(
         starts,
         F.col("__src").eqNullSafe(F.col("__src0")) & (F.col("__bin") == F.col("__bin0")) & (F.col("__salt") == F.col("__salt0")),

@@ -191,7 +191,7 @@ WITH d AS (
   SELECT doc_id, size, source_size, target, first,
          CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
          row_number() OVER (PARTITION BY d.source ORDER BY floor(sqrt(size)),
-           ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '-') || '|42'), 1, 8))::BIGINT % 64, doc_id) AS place
+           ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '-') || '|42'), 1, 8))::BIGINT % 64, doc_id, size) AS place
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,

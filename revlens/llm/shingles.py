@@ -10,10 +10,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, hash_share
+from .common import Scratch, connected_components
+from .simhash import set_fingerprint, simhash_links
 
 SLOTS = 1 << 20
-SAMPLE = 20_000  # documents at least (as expected) for the rarity table; of larger corpora one in 16
 STEPS = np.random.default_rng(5).integers(1 << 62, 1 << 63, 64, np.uint64) | np.uint64(1)
 
 
@@ -50,11 +50,10 @@ def hashes(text: Column, width: int) -> Column:
 def rarity_table(docs: DataFrame, width: int) -> np.ndarray:
     """How common shingles are: a byte for each of 1,048,576 hash slots, twice the binary logarithm of its count.
 
-    Counts come from a sample of the documents (id, text). Any order of the shingles makes the join exact; this one makes it
+    Counts are taken over all documents (id, text). Any order of the shingles makes the join exact; this one makes it
     cheap, as shingles that many documents share come last.
     """
-    share = max(1 / 16, min(1.0, SAMPLE / max(docs.count(), 1)))
-    some = docs.where(hash_share(F.col("id")) < share).select(F.explode(hashes(F.col("text"), width)).alias("h"))
+    some = docs.select(F.explode(hashes(F.col("text"), width)).alias("h"))
     slots = some.groupBy(F.col("h").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     shade = F.least(F.floor(2 * F.log2("n")) + 1, F.lit(255))
     packed = slots.select(F.shiftright("slot", 10).alias("block"), (F.col("slot") * 256 + shade).alias("v"))
@@ -66,10 +65,10 @@ def rarity_table(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _fronts(spark: SparkSession, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``id, key, n, front``: of each set a digest, its size, and its rarest shingles, of which similar sets share one."""
+    """``id, key, n, fp, front``: of each set a digest, its size, its SimHash, and its rarest shingles, of which similar sets share one."""
     rarity = spark.sparkContext.broadcast(rarity_table(docs, width))
 
-    @F.pandas_udf("key binary, n int, front array<long>")
+    @F.pandas_udf("key binary, n int, fp long, front array<long>")
     def front(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         table = rarity.value
         for s in batches:
@@ -79,26 +78,31 @@ def _fronts(spark: SparkSession, docs: DataFrame, width: int, similarity: float)
                 n = len(own)
                 take = n - int(np.ceil(n * similarity - 1e-9)) + 1 if n else 0
                 order = np.argsort(table[own & np.uint64(SLOTS - 1)], kind="stable")[:take]  # equal ones by hash
-                rows.append((xxhash.xxh3_128_digest(own.tobytes()), n, own[order].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["key", "n", "front"])
+                rows.append((xxhash.xxh3_128_digest(own.tobytes()), n, set_fingerprint(own), own[order].view(np.int64)))
+            yield pd.DataFrame(rows, columns=["key", "n", "fp", "front"])
 
     made = docs.select("id", F.explode(F.array(front(F.col("text").cast("binary")))).alias("f"))
-    return made.select("id", "f.key", "f.n", "f.front")
+    return made.select("id", "f.key", "f.n", "f.fp", "f.front")
 
 
 def near_groups(
-    docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2
+    docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1
 ) -> DataFrame:
     """``id, root`` for every id that is not the smallest of its group; rows without an id are ignored.
 
     Two documents are linked where the Jaccard similarity of their sets of ``width``-word shingles is at least
     ``similarity``; groups are the components. Wordless texts are alike. Shingles are compared by 64-bit hashes.
 
-    Equal sets form a class, so copies make no pairs. Similar sets share one of the rare shingles at their fronts (prefix
-    filter). Of the classes that share a shingle, each outside the most frequent group among them is first held against the
-    least of that group, for the group with which it shares most (``rounds`` times, groups growing meanwhile). Pairs are then
-    made only across groups, between those outside the most frequent group and all others, and held against each other on
-    the whole sets. So a large group of near copies makes about as many pairs as it has members, and no link is lost.
+    Equal sets form a class, so copies make no pairs. Classes whose SimHash fingerprints are within two bits (pigeonring-filtered
+    segments, :func:`.simhash.simhash_links`) are held against each other on the whole sets first. At a similarity of 0.8
+    fingerprints of 64 bits are some ten bits apart, too far for any selective segments, so the rest is found by a prefix
+    filter: similar sets share one of the rare shingles at their fronts. Of the classes that share a shingle, each outside the
+    most frequent group among them is first held against the least of that group, for the group with which it shares most
+    (``rounds`` times, groups growing meanwhile). Pairs are then made only across groups, between those outside the most
+    frequent group and all others, and held against each other on the whole sets. So a large group of near copies makes about
+    as many pairs as it has members, and no link is lost.
+
+    Null and empty texts are wordless. Repeated rows are copies; an empty table gives an empty one; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -109,7 +113,13 @@ def near_groups(
     shared = entries.groupBy("w").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("w")
     crowd = scratch.save(entries.join(shared, "w"))
     scratch.drop(entries)
-    whole = docs.join(crowd.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    prints = signed.groupBy("key").agg(F.min(F.struct("id", "fp")).alias("f")).select(F.col("f.id").alias("rep"), "f.fp")
+    prints = scratch.save(prints)
+    leaders = prints.groupBy("fp").agg(F.min("rep").alias("rep"))
+    alike = prints.join(leaders.withColumnRenamed("rep", "b"), "fp").where("rep <> b").select(F.col("rep").alias("a"), "b")
+    close = scratch.save(alike.union(simhash_links(leaders, scratch)))
+    needed = crowd.select("rep").union(close.select("a")).union(close.select("b")).toDF("id").distinct()
+    whole = docs.join(needed, "id", "left_semi")
     whole = scratch.save(whole.select("id", F.explode(F.array(hashes(F.col("text"), width))).alias("set")))
     firsts = signed.groupBy("key").agg(F.min("id").alias("b"))
     links = scratch.save(signed.join(firsts, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct())
@@ -129,6 +139,7 @@ def near_groups(
         at = scratch.save(at.join(main, "w"))
         return at, at.where("root <> main")
 
+    links = scratch.save(links.union(verified(close)))
     for _ in range(rounds):
         _, strays = grouped()
         likely = strays.groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("m"))

@@ -21,11 +21,16 @@ def _fingerprint(text: bytes | None, width: int) -> int:
     if not words:
         return 0
     shingles = [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or [b" ".join(words)]
+    return set_fingerprint(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles)))
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """64-bit SimHash of a set of 64-bit hashes, as a signed number; 0 of an empty one."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(shingles), PIECE):
-        h = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles[at : at + PIECE]], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view("<i8")[0])
+    for at in range(0, len(hashes), PIECE):
+        part = hashes[at : at + PIECE].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprint(text: Column, width: int = 3) -> Column:

@@ -402,3 +402,33 @@ def test_html_pages(spark):
         inner = re.search(r"<article>(.*)</article>", r.html, re.DOTALL)[1]
         parts = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", x))).strip() for x in re.split(r"</?(?:p|h1|br)[^>]*>", inner)]
         assert htmltext.extract(r.html) == "\n".join(x for x in parts if x)
+
+
+def test_language_of_marks_and_copies(spark):
+    """Marks alone are no letters; a group of copies doesn't fill the sample; columns of the result's names are replaced."""
+    rows = [(i, t, lang) for i, t, lang in lang_rows(random.Random(4), 80)]
+    rows += [(1000 + i, rows[0][1], rows[0][2]) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = langid.fit_dictionaries(docs, sample=20)
+    assert learned == langid.fit_dictionaries(docs.dropDuplicates(["text"]), sample=20) or len(learned) == len({r[2] for r in rows})
+    odd = spark.createDataFrame([(1, "́̂", "x"), (2, "12", "x"), (3, None, "x"), (4, rows[0][1], "x"), (4, rows[0][1], "x")], "doc_id long, text string, lang_pred string")
+    seen = langid.identify(odd.withColumn("score", F.lit("clash")), learned).collect()
+    assert [r.lang_pred for r in sorted(seen, key=lambda r: r.doc_id)] == ["und"] * 3 + [rows[0][2]] * 2
+    assert langid.fit_dictionaries(docs.where("false")) == {}
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    for page in ("<a " * 300_000, "<!" * 300_000, "<a \"'" * 200_000 + ">"):
+        began = time.perf_counter()
+        htmltext.extract(page)
+        assert time.perf_counter() - began < 5
+
+
+def test_mixing_ties_by_size(spark):
+    """Rows of one id and source but of different sizes have an order of their own, whatever the partitions."""
+    rows = [(1, "s", 10 + i % 3) for i in range(30)] + [(None, None, 5), (None, "s", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, words long")
+    taken = [sorted((r.size, r.copies) for r in mixing.mix(d, size_col="words").collect()) for d in (df, df.repartition(7).orderBy(F.rand(3)))]
+    assert taken[0] == taken[1]
