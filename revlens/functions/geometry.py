@@ -70,14 +70,16 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
 
 def path_distance(px: Column, py: Column, points: Column) -> Column:
     """Distance of a point from an open path, an array<struct<x,y>>; null for an empty path."""
-    parts = F.zip_with(F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(1))), F.slice(points, 2, F.size(points)), lambda a, b: F.struct(a, F.coalesce(b, a)))
+    parts = F.zip_with(F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(1))), F.slice(points, 2, F.size(points)), lambda a, b: F.struct(a.alias("a"), F.coalesce(b, a).alias("b")))
     return F.array_min(
-        F.transform(parts, lambda s: segment_distance(px, py, s[0]["x"], s[0]["y"], s[1]["x"], s[1]["y"]))
+        F.transform(parts, lambda s: segment_distance(px, py, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]))
     )
 
 
 def sheet_signature(width: Column, height: Column) -> Column:
-    return F.format_string("aspect-%.3f", F.try_divide(width, height))
+    """Width by height to three places, halves to the even digit; null without a height."""
+    shape = F.try_divide(width, height)
+    return F.when(shape.isNotNull(), F.format_string("aspect-%.3f", F.bround(shape, 3)))
 
 
 def clamp_to_cap(low: Column, high: Column, cap: float) -> tuple[Column, Column]:
