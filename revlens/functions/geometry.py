@@ -77,9 +77,8 @@ def path_distance(px: Column, py: Column, points: Column) -> Column:
 
 
 def sheet_signature(width: Column, height: Column) -> Column:
-    """Width by height to three places, halves to the even digit; null without a height."""
-    shape = F.try_divide(width, height)
-    return F.when(shape.isNotNull(), F.format_string("aspect-%.3f", F.bround(shape, 3)))
+    """Width by height to three places; null without a height."""
+    return F.format_string("aspect-%.3f", F.try_divide(width, height))
 
 
 def clamp_to_cap(low: Column, high: Column, cap: float) -> tuple[Column, Column]:

@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 TIMES = "[xX×ラｘＸ]"
 DASHES = "[－−–—―〜～]"
 # Folded in this order, on lower-cased text without white space.
-FOLDS = [("dia", "ø"), ("deg", "°"), ("rad", "r"), ("diameter", "ø"), ("radius", "r"), ("×", "x"), ("：", ":"), ("（", "("), ("）", ")")]
+FOLDS = [
+    ("dia", "ø"), ("diameter", "ø"), ("deg", "°"), ("degrees", "°"), ("rad", "r"), ("radius", "r"),
+    ("×", "x"), ("✕", "x"), ("✖", "x"), ("⨯", "x"), ("：", ":"), ("（", "("), ("）", ")"),
+]
 
 
 def compare_values(old: Column, new: Column) -> Column:
@@ -60,7 +63,7 @@ def nfkc(text: Column) -> Column:
 
 def normal_key(text: Column) -> Column:
     """Key under which two notes are the same: NFKC, lower case, no white space, drawing signs folded in order."""
-    key = F.regexp_replace(F.lower(nfkc(text)), r"(?U)\s+", "")
+    key = F.regexp_replace(F.lower(nfkc(text)), "[ \\n\\t\\r\u3000]+", "")
     for old, new in FOLDS:
         key = F.replace(key, F.lit(old), F.lit(new))
     return key

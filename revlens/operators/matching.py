@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from revlens.functions.text import ratio
 
 
+# Fixed value: what a comparison key of numbers and drawing signs alone looks like.
+NUMBERS = r"^[0-9.,\-/x×øφ°±r():~〜=]+$"
+
+
 def status(left: Column, right: Column, equal: Column | None = None) -> Column:
     """ADDED, REMOVED, MATCHED (or CHANGED where ``equal`` is false) for the two sides of an outer join."""
     both = F.lit("MATCHED") if equal is None else F.when(equal, "MATCHED").otherwise("CHANGED")
@@ -254,7 +258,6 @@ def spatial_diff(
         rest_old.select("pair_id", "kind", "ord", "key", "x", "y"), rest_new.select("pair_id", "kind", "ord", "key", "x", "y"),
         fuzzy, ["pair_id", "kind"],
     )
-    numbers = r"^[0-9.,\-/x×øφ°±r():~〜=]+$"
 
     def shown(key: Column) -> Column:
         return F.regexp_replace(key, r"^dim:[^:]*:", "")
@@ -268,7 +271,7 @@ def spatial_diff(
         .where("distance <= radius and old_key <> new_key")
         .withColumn("similarity", ratio(shown(F.col("old_key")), shown(F.col("new_key"))))
     )
-    in_place = (F.col("distance") <= twin) & F.col("old_key").rlike(numbers) & F.col("new_key").rlike(numbers)
+    in_place = (F.col("distance") <= twin) & F.col("old_key").rlike(NUMBERS) & F.col("new_key").rlike(NUMBERS)
     cross = cross.where((F.col("similarity") >= floor) | in_place).withColumn(
         "score", F.col("distance") + 1000.0 - similarity_weight * F.col("similarity")
     )

