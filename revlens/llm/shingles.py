@@ -9,6 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import Scratch, connected_components
 from .simhash import set_fingerprint, simhash_links
@@ -99,7 +100,7 @@ def near_groups(
     filter: similar sets share one of the rare shingles at their fronts. Of the classes that share a shingle, each outside the
     most frequent group among them is first held against the least of that group, for the group with which it shares most
     (``rounds`` times, groups growing meanwhile). Pairs are then made only across groups, between those outside the most
-    frequent group and all others, and held against each other on the whole sets. So a large group of near copies makes about
+    frequent group and all others, where their fronts share enough, and held against each other on the whole sets. So a large group of near copies makes about
     as many pairs as it has members, and no link is lost.
 
     Null and empty texts are wordless. Repeated rows are copies; an empty table gives an empty one; other columns are ignored.
@@ -108,44 +109,54 @@ def near_groups(
     scratch = Scratch(spark)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     signed = scratch.save(_fronts(spark, docs, width, similarity))
-    classes = signed.groupBy("key").agg(F.min(F.struct("id", "n", "front")).alias("f"))
-    entries = scratch.save(classes.select(F.col("f.id").alias("rep"), "f.n", F.explode("f.front").alias("w")))
-    shared = entries.groupBy("w").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("w")
-    crowd = scratch.save(entries.join(shared, "w"))
-    scratch.drop(entries)
-    prints = signed.groupBy("key").agg(F.min(F.struct("id", "fp")).alias("f")).select(F.col("f.id").alias("rep"), "f.fp")
-    prints = scratch.save(prints)
-    leaders = prints.groupBy("fp").agg(F.min("rep").alias("rep"))
-    alike = prints.join(leaders.withColumnRenamed("rep", "b"), "fp").where("rep <> b").select(F.col("rep").alias("a"), "b")
-    close = scratch.save(alike.union(simhash_links(leaders, scratch)))
-    needed = crowd.select("rep").union(close.select("a")).union(close.select("b")).toDF("id").distinct()
-    whole = docs.join(needed, "id", "left_semi")
-    whole = scratch.save(whole.select("id", F.explode(F.array(hashes(F.col("text"), width))).alias("set")))
-    firsts = signed.groupBy("key").agg(F.min("id").alias("b"))
-    links = scratch.save(signed.join(firsts, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct())
+    classes = scratch.save(signed.groupBy("key").agg(F.min(F.struct("id", "n", "fp", "front")).alias("f")).select("key", "f.*"))
+    firsts = classes.select("key", F.col("id").alias("b"))
+    equal = scratch.save(signed.select("id", "key").join(firsts, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct())
+    scratch.drop(signed)
+    entries = classes.select(F.col("id").alias("rep"), "n", F.explode("front").alias("w"))
+    shared = F.count(F.lit(1)).over(Window.partitionBy("w")) > 1
+    crowd = scratch.save(entries.withColumn("shared", shared).where("shared").drop("shared"))
+    prints = scratch.save(classes.select(F.col("id").alias("rep"), "fp"))
+    scratch.drop(classes)
+
+    def may_match(met: Column, n: Column, m: Column) -> Column:
+        """Shingles that aren't common to both fronts are common only if they lie behind the front of one of the sets."""
+        behind = F.greatest(_least(n, similarity), _least(m, similarity)) - 1
+        return (F.least(n, m) >= _least(F.greatest(n, m), similarity)) & (met + behind >= _least(n + m, similarity / (1 + similarity)))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.save(pairs)
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        whole = docs.join(needed, "id", "left_semi").select("id", F.explode(F.array(hashes(F.col("text"), width))).alias("set"))
+        whole = scratch.save(whole)  # repeated ids: any of their texts may match
         both = pairs.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
         common = F.size(F.array_intersect("x", "y"))
-        return both.where(common >= _least(F.size("x") + F.size("y") - common, similarity)).select("a", "b").distinct()
+        close = both.where(common >= _least(F.size("x") + F.size("y") - common, similarity)).select("a", "b").distinct()
+        close = scratch.save(close)
+        scratch.drop(whole)
+        return close
 
-    def grouped() -> tuple[DataFrame, DataFrame]:
+    def grouped(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Classes that share a shingle across groups, with their groups; the least class of the most frequent one."""
         roots = connected_components(links, scratch)
         at = crowd.join(roots, F.col("rep") == F.col("node"), "left").select("w", "rep", "n", F.coalesce("root", "rep").alias("root"))
-        counts = at.groupBy("w", "root").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("hub"))
+        counts = at.groupBy("w", "root").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rep", "n")).alias("hub"))
         main = counts.groupBy("w").agg(F.max(F.struct("m", -F.col("root"), "hub", "root")).alias("t"), F.count(F.lit(1)).alias("k"))
         main = main.where("k > 1").select("w", F.col("t.root").alias("main"), F.col("t.hub").alias("hub"))
         at = scratch.save(at.join(main, "w"))
         return at, at.where("root <> main")
 
-    links = scratch.save(links.union(verified(close)))
+    leaders = prints.groupBy("fp").agg(F.min("rep").alias("rep"))
+    alike = prints.join(leaders.withColumnRenamed("rep", "b"), "fp").where("rep <> b").select(F.col("rep").alias("a"), "b")
+    links = scratch.save(equal.union(verified(alike.union(simhash_links(leaders, scratch)))))
     for _ in range(rounds):
-        _, strays = grouped()
-        likely = strays.groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("m"))
-        likely = likely.groupBy(F.col("rep").alias("a")).agg(F.max_by("hub", F.struct("m", -F.col("hub"))).alias("b"))
-        links = scratch.save(links.union(verified(scratch.save(likely))))
-    at, strays = grouped()
+        at, strays = grouped(links)
+        likely = strays.groupBy("rep", "n", "hub").agg(F.count(F.lit(1)).alias("met"))
+        likely = likely.where(may_match(F.col("met"), F.col("n"), F.col("hub.n")))
+        likely = likely.groupBy(F.col("rep").alias("a")).agg(F.max_by("hub.rep", F.struct("met", -F.col("hub.rep"))).alias("b"))
+        links = scratch.save(links.union(verified(likely)))
+        scratch.drop(at)
+    at, strays = grouped(links)
     x, y = strays.alias("x"), at.alias("y")
     n, m = F.col("x.n"), F.col("y.n")
     fits = (
@@ -153,9 +164,12 @@ def near_groups(
         & (F.col("x.root") != F.col("y.root"))
         & ((F.col("y.root") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
         & (F.least(n, m) >= _least(F.greatest(n, m), similarity))
+    )  # a pair across groups meets once at each shingle that it shares
+    met = x.join(y, fits).groupBy(
+        F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b"), F.least(n, m).alias("n"), F.greatest(n, m).alias("m")
     )
-    pairs = x.join(y, fits).select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
-    links = scratch.save(links.union(verified(scratch.save(pairs))))
+    pairs = met.agg(F.count(F.lit(1)).alias("met")).where(may_match(F.col("met"), F.col("n"), F.col("m"))).select("a", "b")
+    links = scratch.save(links.union(verified(pairs)))
     return connected_components(links, scratch).select(F.col("node").alias("id"), "root")
 
 
