@@ -10,7 +10,7 @@ from .common import WORD_BREAKS, WORDS, Scratch
 
 SLOTS = 1 << 21
 KEY = ["doc", "body"]
-SHADE_AT = 58  # bits of a word's hash below its rarity
+SHADE_AT = 57  # bits of a word's hash below its rarity, which takes six: a key is never negative
 SHARED_SHADE = 3  # of a slot with more than its seeded row and one word: words below are in one line only
 LEADERS = 16
 WAYS = 3

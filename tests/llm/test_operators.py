@@ -228,6 +228,15 @@ def test_line_dedup(spark):
     assert left[(None, "words of its own here")] == 0 and sum(1 for d, _ in left if d == 5) == 1 and first is not None
 
 
+def test_line_dedup_of_very_common_words(spark):
+    """Words that occur over 65,536 times are the last in order, and still count as shared."""
+    hot = [f"h{k}" for k in range(12)]
+    rows = [(0, " ".join(hot + ["one"])), (1, " ".join(hot + ["two"])), (2, " ".join(hot[:9])), (3, " ".join(hot[2:] + ["three"]))]
+    filler = [(10 + k, " ".join([w, f"own{k}a", f"own{k}b"] + [w] * 70_000)) for k, w in enumerate(hot)]
+    got = linededup.with_kept_text(spark.createDataFrame(rows + filler, "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed for r in got.where("doc_id < 10").collect()} == {0: 0, 1: 1, 2: 0, 3: 0}
+
+
 def test_line_dedup_large_groups(spark):
     """Near copies of a line in numbers: results are whole, and pairs grow with the group, not its square."""
     rng = random.Random(3)
