@@ -49,11 +49,6 @@ def rarity_table(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> D
     return scratch.save(blocks.agg(F.flatten(strung("block", "shades")).alias("rarity")))
 
 
-def _hashed(line: Column) -> Column:
-    """A line's distinct words as 64-bit hashes."""
-    return F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-
-
 def _least(n: Column, share: float) -> Column:
     """Smallest whole number that is at least share * n."""
     return F.ceil(n * share - 1e-9).cast("int")
@@ -88,7 +83,8 @@ def _may_match(a: str, b: str, similarity: float) -> Column:
 def line_classes(docs: DataFrame, scratch: Scratch, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """``id, doc, body, no, n, sketch, front``: the first line of each word set; ids follow their order.
 
-    front holds the rarest words with their places (pos), without those that occur once in all ``docs``: they meet nobody.
+    front holds the rarest words in order, without those that occur once in all ``docs``: they meet nobody. Those are the
+    first ones, so a word's place in the set follows from how many are left.
     """
     rarity = rarity_table(docs, scratch, text_col)
     rows = docs.where(F.col(text_col).isNotNull()).select(
@@ -96,21 +92,19 @@ def line_classes(docs: DataFrame, scratch: Scratch, similarity: float, id_col: s
         F.xxhash64(text_col).alias("body"),
         F.posexplode(F.split(F.lower(F.col(text_col)), "\n")).alias("no", "line"),
     )
-    # explode(array(x)) has x computed once, however often it is used below
-    rows = rows.select(*KEY, "no", F.explode(F.array(_hashed(F.col("line")))).alias("hashes")).where(F.size("hashes") > 0)
+    rows = rows.where(F.btrim("line", F.lit(" \t\x0b\x0c\r")) != "")
 
-    def by_rarity(h: Column) -> Column:
+    def by_rarity(w: Column) -> Column:
+        h = F.xxhash64(w)
         shade = F.get(F.col("__rarity"), _slot(h).cast("int")).cast("long")
         return F.shiftleft(shade, SHADE_AT).bitwiseOR(F.shiftrightunsigned(h, 64 - SHADE_AT))
 
+    words = F.array_remove(_words(F.col("line")), "")
     # In a plain projection the scalar is one value for a task; below an explode it would be a column of every row.
-    sets = rows.withColumn("__rarity", rarity.scalar()).select(
-        *KEY, "no", F.size("hashes").alias("n"), _sketch(F.col("hashes")).alias("sketch"),
-        F.sort_array(F.transform("hashes", by_rarity)).alias("set"),
-    )
+    sets = rows.withColumn("__rarity", rarity.scalar()).select(*KEY, "no", F.sort_array(F.array_distinct(F.transform(words, by_rarity))).alias("set"))
+    sets = sets.select(*KEY, "no", F.size("set").alias("n"), _sketch(F.col("set")).alias("sketch"), "set")
     front = F.slice("set", 1, F.col("n") - _least(F.col("n"), similarity) + 1)
-    front = F.transform(front, lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
-    front = F.filter(front, lambda x: x["word"] >= F.lit(SHARED_SHADE << SHADE_AT))
+    front = F.filter(front, lambda w: w >= F.lit(SHARED_SHADE << SHADE_AT))
     keyed = sets.select(
         F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), "set").alias("k2"),
         F.struct(*KEY, "no", "n", "sketch", front.alias("front")).alias("f"),
@@ -137,7 +131,7 @@ def likely_matches(classes: DataFrame, similarity: float) -> DataFrame:
             often = (F.shiftrightunsigned(w, SHADE_AT + 2) + 1).cast("int")
             return F.call_function("shiftrightunsigned", F.xxhash64(F.lit(way), w), often)
 
-        return F.array_min(F.transform("front.word", drawn))
+        return F.array_min(F.transform("front", drawn))
 
     members = classes.select("id", "n", "sketch", F.posexplode(F.array(*map(least, range(WAYS)))).alias("way", "name"))
     members = members.where("name is not null")
@@ -163,7 +157,9 @@ def candidates(classes: DataFrame, settled: DataFrame, similarity: float) -> Dat
     """
     done = settled.select(F.col("late").alias("id"), F.lit(1).cast("long").alias("done"))
     coded = classes.join(done, "id", "left").withColumn("code", 2 * F.col("id") + F.coalesce("done", F.lit(0)))
-    entries = coded.select("code", "n", "sketch", F.explode("front").alias("f")).select("code", "n", "sketch", "f.pos", "f.word")
+    gone = F.col("n") - _least(F.col("n"), similarity) + 1 - F.size("front")
+    entries = coded.select("code", "n", "sketch", gone.alias("gone"), F.posexplode("front").alias("i", "word"))
+    entries = entries.select("code", "n", "sketch", (F.col("gone") + F.col("i")).alias("pos"), "word")
     own, other = entries.alias("l"), entries.alias("e")
     ln, en, lp, ep = (F.col(c) for c in ("l.n", "e.n", "l.pos", "e.pos"))
     late, early = F.col("l.code"), F.shiftright("e.code", 1)
