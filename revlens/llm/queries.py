@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embed, htmltext, langid, linededup, mixing, quality, simhash, tokens
+from . import chat, decontam, embed, htmltext, langid, linededup, mixing, quality, simhash, tokens, urls
 from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+URL_WORDS = ("ads", "adult", "bet", "casino", "gambling", "pills", "porn", "spam", "viagra", "warez")  # in names of hosts that are listed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +110,12 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.with_main_text(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = urls.hosts_named(pages, URL_WORDS)
+    return urls.judge_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 OP5_SQL = r"""
 WITH l AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS no, unnest(string_split(text, chr(10))) AS line FROM documents
@@ -200,12 +208,31 @@ FROM o
 """
 
 
+OP13_SQL = r"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages
+), r(said, place, start) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), judged AS (
+  SELECT host, path, arg_max(place || start, len(place) + len(start)) AS rule, arg_max(said, len(place) + len(start)) AS said
+  FROM (SELECT DISTINCT host, path FROM p) JOIN r ON (host = place OR host LIKE '%.' || place) AND starts_with(path, start) GROUP BY ALL
+), listed AS (
+  SELECT DISTINCT host AS key FROM p
+  WHERE list_has_any(string_split_regex(host, '[.-]'), ['ads', 'adult', 'bet', 'casino', 'gambling', 'pills', 'porn', 'spam', 'viagra', 'warez'])
+), blocked AS (SELECT DISTINCT host FROM p JOIN listed ON host = key OR host LIKE '%.' || key)
+SELECT page_id, p.host, p.path, rule, coalesce(said, CASE WHEN b.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM p LEFT JOIN judged j ON p.host = j.host AND p.path = j.path LEFT JOIN blocked b ON p.host = b.host
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (op1_simhash_dedup, op2_language_id, op3_embedding_dedup, op4_token_counts, op5_line_dedup, op6_chat_format, op7_decontaminate, op8_mix_sources, op9_quality, op10_html_text)
+        for f in (op1_simhash_dedup, op2_language_id, op3_embedding_dedup, op4_token_counts, op5_line_dedup, op6_chat_format, op7_decontaminate, op8_mix_sources, op9_quality, op10_html_text, op13_url_filter)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_mix_sources": OP8_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_mix_sources": OP8_SQL, "op13_url_filter": OP13_SQL}
