@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embed, htmltext, langid, linededup, mixing, quality, simhash, tokens, urls
+from . import chat, decontam, embed, htmltext, langid, linededup, mixing, phrases, quality, simhash, tokens, urls, whiten
 from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +110,19 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.with_main_text(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = whiten.with_whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=32)
+    parts = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "part")
+    rows = seen.select("vec_id", "n", "deviation", "identity_error", parts)
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "part.whitened", "part.explained", "identity_error"
+    )
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = urls.hosts_named(pages, URL_WORDS)
@@ -208,6 +221,33 @@ FROM o
 """
 
 
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces), grams AS (
+  SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, k, words, unnest(range(1, len(words) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS v(k))
+), f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL), c AS (SELECT * FROM f WHERE k > 1 AND f >= 10), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.f AS a, cut, array_to_string(string_split(c.phrase, ' ')[: cut], ' ') AS first, array_to_string(string_split(c.phrase, ' ')[cut + 1 :], ' ') AS rest
+  FROM c, (VALUES (1), (2)) AS v(cut) WHERE cut < c.k
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, a, p.f AS l, q.f AS r, ((1000000::HUGEINT * a * a) // (p.f::HUGEINT * q.f))::BIGINT AS score,
+         row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY (1000000::HUGEINT * a * a) // (p.f::HUGEINT * q.f), cut) AS no
+  FROM cuts JOIN f p ON p.lang = cuts.lang AND p.phrase = first JOIN f q ON q.lang = cuts.lang AND q.phrase = rest
+), within AS (
+  SELECT lang, part, max(f) AS longer FROM (
+    SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[: 2], ' '), array_to_string(string_split(phrase, ' ')[2 :], ' ')]) AS part FROM c WHERE k = 3)
+  GROUP BY ALL
+)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM scored s JOIN totals USING (lang) LEFT JOIN within x ON x.lang = s.lang AND part = phrase
+WHERE no = 1 AND (longer IS NULL OR 100 * longer < 50 * a)
+QUALIFY rank <= 2000
+"""
+
 OP13_SQL = r"""
 WITH p AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -230,9 +270,9 @@ FROM p LEFT JOIN judged j ON p.host = j.host AND p.path = j.path LEFT JOIN block
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (op1_simhash_dedup, op2_language_id, op3_embedding_dedup, op4_token_counts, op5_line_dedup, op6_chat_format, op7_decontaminate, op8_mix_sources, op9_quality, op10_html_text, op13_url_filter)
+        for f in (op1_simhash_dedup, op2_language_id, op3_embedding_dedup, op4_token_counts, op5_line_dedup, op6_chat_format, op7_decontaminate, op8_mix_sources, op9_quality, op10_html_text, op11_whitening, op12_collocations, op13_url_filter)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_mix_sources": OP8_SQL, "op13_url_filter": OP13_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_mix_sources": OP8_SQL, "op12_collocations": OP12_SQL, "op13_url_filter": OP13_SQL}
