@@ -15,7 +15,7 @@ from pyspark.sql import Window
 
 from .common import Scratch
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 FILTER_BITS = 1 << 26  # of the filter of frequent phrases: 8 MB, whatever the corpus
 SALTS = 16
 BREAK = b"\xff"  # in no UTF-8 text
@@ -148,8 +148,9 @@ def _counts(n_from: int, n_to: int, bloom: np.ndarray | None, most: int) -> Call
             held.clear()
 
         for batch in batches:
-            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
-                text = (text or b"").translate(PLAIN)
+            langs, texts = batch["lang"], batch["text"].cast(pa.binary())
+            for i in range(batch.num_rows):  # one text at a time: a batch holds thousands
+                lang, text = langs[i].as_py(), (texts[i].as_py() or b"").translate(PLAIN)
                 if len(text) > most:
                     for part, old in _pieces(text, n_to, most):
                         yield _counted(part, lang, old, n_from, n_to, bloom)
