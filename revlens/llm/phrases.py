@@ -15,7 +15,7 @@ from pyspark.sql import Window
 
 from .common import Scratch
 
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 FILTER_BITS = 1 << 26  # of the filter of frequent phrases: 8 MB, whatever the corpus
 SALTS = 16
 BREAK = b"\xff"  # in no UTF-8 text
