@@ -13,8 +13,8 @@ DEFAULT_MM = 0.25
 # The first colours of the drawing index.
 INDEX_COLOURS = {1: "#ff0000", 2: "#ffff00", 3: "#00ff00", 4: "#00ffff", 5: "#0000ff", 6: "#ff00ff", 7: "#ffffff", 8: "#808080", 9: "#c0c0c0"}
 # Labels of a sheet's margin grid.
-GRID_LABEL = r"^([A-H]|[1-9]|1[0-2])$"
-MARGIN = 0.09
+GRID_LABEL = r"^([A-H]|0*[1-9]|0*1[0-2])$|[①-⑫]"
+GRID_MARGIN, MARGIN = 0.09, 0.025
 
 
 def first_point(*points: Column) -> Column:
@@ -29,12 +29,19 @@ def in_band(x: Column, y: Column, sheet: Box, share: float = MARGIN) -> Column:
 
 
 def grid_label(text: Column, x: Column, y: Column, sheet: Box) -> Column:
-    """Whether a text is a label of the margin's grid: a letter to H or a number to 12, standing in the margin."""
-    return F.coalesce(F.trim(text).rlike(GRID_LABEL), F.lit(False)) & in_band(x, y, sheet)
+    """Whether a text is a label of the margin's grid: a letter to H or a number to 12, or with a circled one, standing in the margin for it."""
+    return F.coalesce(F.trim(text).rlike(GRID_LABEL), F.lit(False)) & in_band(x, y, sheet, GRID_MARGIN)
+
+
+def in_margin(text: Column, x: Column, y: Column, sheet: Box) -> Column:
+    """Whether something belongs to the margin: a grid label, or anything in the narrow outer band."""
+    return grid_label(text, x, y, sheet) | in_band(x, y, sheet)
 
 
 def too_large(box: tuple[Column, Column, Column, Column], sheet: Box, most: float = 0.70) -> Column:
-    """Whether a box takes over ``most`` of the sheet, and so tells nothing."""
+    """Whether a box takes over ``most`` of the sheet, and so tells nothing; never on a sheet without an extent."""
+    if sheet[2] <= sheet[0] or sheet[3] <= sheet[1]:
+        return F.lit(False)
     area = (sheet[2] - sheet[0]) * (sheet[3] - sheet[1])
     return F.coalesce((box[2] - box[0]) * (box[3] - box[1]) / area > most, F.lit(False))
 
@@ -49,13 +56,13 @@ def marker_anchor(x: Column, y: Column, height: Column, text: Column, width_rati
     return x + height * width_ratio * F.length(text) / 2, y + height / 2
 
 
-def line_weight_mm(own: Column, layer: Column, block: Column) -> Column:
-    """Millimetres of a line weight in hundredths; the layer's, block's or default one where it says so."""
+def line_weight_mm(own: Column, layer: Column) -> Column:
+    """Millimetres of a line weight in hundredths; the layer's where it leaves that to layer or block or is unknown, else, below zero, the default."""
 
     def plain(w: Column) -> Column:
-        return F.when(w >= 0, w / 100.0).otherwise(F.lit(DEFAULT_MM))
+        return F.when(w >= 0, F.round(w / 100.0, 4)).otherwise(F.lit(DEFAULT_MM))
 
-    return F.when(own == BY_LAYER, plain(layer)).when(own == BY_BLOCK, plain(block)).otherwise(plain(own))
+    return F.when(F.coalesce(own, F.lit(BY_LAYER)).isin(BY_LAYER, BY_BLOCK), plain(layer)).otherwise(plain(own))
 
 
 def stroke_colour(own: Column, layer: Column, block: Column, default: str = "#000000") -> Column:
@@ -84,12 +91,22 @@ def from_view(x: Column, y: Column, centre: tuple[float, float], scale: float, t
     return centre[0] + dx * c + dy * s, centre[1] - dx * s + dy * c
 
 
+REVISION = r"(?i)(?U)\b(?:REV|revision)\.?\s*([A-Z0-9]+)\b"  # fixed value; of "revision" the first alternative takes three letters
+
+
 def revision_letter(texts: Column, default: str) -> Column:
-    """The letter of the last text (array, in order) that names a revision (``REV x``); else the default."""
-    named = F.filter(F.transform(texts, lambda t: F.regexp_extract(F.upper(t), r"(?:^|\P{L})REV\.?\s*([A-Z])(?:\P{L}|$)", 1)), lambda t: t != "")
+    """What the last text (array, in order) that names a revision calls it, as written; else the default."""
+    named = F.filter(F.transform(texts, lambda t: F.regexp_extract(F.btrim(t), REVISION, 1)), lambda t: t != "")
     return F.coalesce(F.try_element_at(named, F.lit(-1)), F.lit(default))
 
 
+def advanced_revision(old: Column, new: Column, differ: Column) -> Column:
+    """``new``, but where it equals ``old`` and the files differ the letter after the old one's first; B where that is no letter."""
+    first = F.substring(old, 1, 1)
+    after = F.when(first.rlike(r"(?U)^\p{L}$"), F.char(F.ascii(first) + 1)).otherwise(F.lit("B"))
+    return F.when((old == new) & differ, after).otherwise(new)
+
+
 def text_of(*parts: Column) -> Column:
     """The first text that isn't empty, trimmed; the empty text where there is none."""
     return F.trim(F.coalesce(*[F.nullif(p, F.lit("")) for p in parts], F.lit("")))

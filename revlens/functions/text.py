@@ -139,8 +139,9 @@ def exact_key(text: Column) -> Column:
 
 
 def pair_key(old: Column, new: Column) -> Column:
-    """Key of a text pair; a missing side is empty."""
-    return F.concat(F.coalesce(exact_key(old), F.lit("")), F.lit("->"), F.coalesce(exact_key(new), F.lit("")))
+    """Key of a text pair; one with a missing side has one key, whichever side holds the text."""
+    a, b = (F.coalesce(exact_key(t), F.lit("")) for t in (old, new))
+    return F.when(a == "", F.concat(b, F.lit("->"))).otherwise(F.concat(a, F.lit("->"), b))
 
 
 def redact(text: Column, patterns: list[str]) -> Column:

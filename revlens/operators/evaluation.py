@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .folds import checkpointed
+
 # Operators with their weights, zones by operator in the order in which they are looked at, categories of zones, texts that are put in, steps of numbers.
 WEIGHTS = {"edit_text": 4, "delete_text": 2, "insert_text": 2, "edit_dimension_measurement": 3, "edit_title_field": 2, "restyle_dimension_text": 2, "translate_entities": 2}
 ZONES = {
@@ -83,7 +85,7 @@ def mutate(entities: DataFrame, seed: int, edits: int = 3, operators: Sequence[s
         target = open_.join(asked, ["sheet", "zone"]).where(fits).groupBy("sheet").agg(
             F.min(F.struct("turn", drawn(seed, F.col("sheet"), "target", F.lit(step), F.col("ord")).alias("draw"), "zone", "ord")).alias("t")
         )
-        did = chosen.join(target, "sheet", "left").select("sheet", F.lit(step).alias("step"), "operator", "t.zone", "t.ord")
+        did = checkpointed(chosen.join(target, "sheet", "left").select("sheet", F.lit(step).alias("step"), "operator", "t.zone", "t.ord"))
         plan = did if plan is None else plan.union(did)
         touched = did.where("ord is not null").select("sheet", "ord")
         taken = touched if taken is None else taken.union(touched)
@@ -96,7 +98,7 @@ def mutate(entities: DataFrame, seed: int, edits: int = 3, operators: Sequence[s
     shown = F.when(measured.isNotNull() & texts, retargeted(F.col("text"), measured))
     restyled = F.when(op == "restyle_dimension_text", F.when(F.startswith("text", F.lit("%%c")), F.lit("")).otherwise(F.concat(F.lit("%%c"), retargeted(F.lit(""), F.col("measurement")))))
     shift = lambda axis: F.when(op == "translate_entities", drawn(seed, axis, *key) * 6.0 - 3.0).otherwise(F.lit(0.0))
-    rows = rows.withColumns({"__after": after, "__measured": measured, "__shown": shown})
+    rows = checkpointed(rows.withColumns({"__after": after, "__measured": measured, "__shown": shown}))
     changed = rows.where(op.isNull() | (op != "delete_text")).withColumns(
         {
             "text": F.coalesce("__after", "__shown", restyled, "text"), "measurement": F.coalesce("__measured", F.col("measurement")),
@@ -137,13 +139,13 @@ def one_at_a_time(baseline: Mapping[str, float], ranges: Mapping[str, Sequence[f
     return [("baseline", 0.0, dict(baseline)), *((n, float(v), dict(baseline) | {n: v}) for n, values in ranges.items() for v in values)]
 
 
-def sweep(candidates: DataFrame, item: Sequence[str], settings: Sequence[tuple[str, float, Mapping[str, float]]], accepts: Callable[[Mapping[str, float]], Column], order: Sequence[Column], correct: Column, n_truth: int) -> DataFrame:
+def sweep(candidates: DataFrame, item: Sequence[str], settings: Sequence[tuple[str, float, Mapping[str, float]]], accepts: Callable[[Mapping[str, float]], Column], order: Callable[[Mapping[str, float]], Sequence[Column]], correct: Column, n_truth: int) -> DataFrame:
     """``name, value, n_found, n_right, precision, recall, f1`` of every setting, from one pass over candidates made once at the widest.
 
-    Under a setting each item picks, of the candidates that it ``accepts``, the one that is greatest by ``order``; the pick is right if ``correct``. All settings are columns of one aggregate by item, so candidates are read and shuffled once, partially aggregated, whatever the number of settings
+    Under a setting each item picks, of the candidates that it ``accepts``, the one that is greatest by the setting's ``order``; the pick is right if ``correct``. All settings are columns of one aggregate by item, so candidates are read and shuffled once, partially aggregated, whatever the number of settings
     (tens). Precision is null where nothing is found, F1 0 where nothing is right.
     """
-    picks = candidates.groupBy(*item).agg(*[F.max(F.when(accepts(p), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], correct.alias("right")))).alias(f"s{k}") for k, (_, _, p) in enumerate(settings)])
+    picks = candidates.groupBy(*item).agg(*[F.max(F.when(accepts(p), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order(p))], correct.alias("right")))).alias(f"s{k}") for k, (_, _, p) in enumerate(settings)])
     totals = picks.agg(*[c for k in range(len(settings)) for c in (F.count(f"s{k}").alias(f"n{k}"), F.count_if(F.col(f"s{k}.right")).alias(f"r{k}"))])
     rows = totals.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).alias("value"), F.col(f"n{k}").alias("n_found"), F.col(f"r{k}").alias("n_right")) for k, (n, v, _) in enumerate(settings)])).alias("s")).select("s.*")
     precision, recall = F.try_divide(F.col("n_right"), F.col("n_found")), F.try_divide(F.col("n_right"), F.lit(n_truth))

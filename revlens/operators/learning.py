@@ -146,8 +146,8 @@ def _remembered(markings: DataFrame, memory: DataFrame, id_col: str) -> DataFram
     return rows.join(memory.where("kind <> 'category'").select("kind", "key").distinct(), "key").select(id_col, "kind").distinct()
 
 
-def _overridden(markings: DataFrame, memory: DataFrame, id_col: str) -> DataFrame:
-    """``id_col, kind``: which kinds of memory hold a value that applies more widely to a marking.
+def overridden_values(markings: DataFrame, memory: DataFrame, id_col: str) -> DataFrame:
+    """``id_col, kind, value``: remembered values that apply more widely to a marking, of its own category or of any.
 
     Values that must be equal are joined on it; others on their first three characters, of which a marking has those at all places of its fields. No pairs are made but those that share such a beginning.
     """
@@ -161,7 +161,7 @@ def _overridden(markings: DataFrame, memory: DataFrame, id_col: str) -> DataFram
     entries = [F.concat(F.array(F.concat(F.lit("="), c)), F.when(F.char_length(c) >= LEAST_SUBSTRING, spots(c)).otherwise(F.array().cast("array<string>"))) for c in ("details", "text_content", "original_value")]
     looked = fields.withColumn("entry", F.explode(F.array_distinct(F.concat(*entries))))
     met = looked.join(known, "entry").where(F.col("cat").isin("", "unknown") | (F.col("cat") == F.col("own")))
-    return met.where(override_applies(F.col("value"), F.col("details"), F.col("text_content"), F.col("original_value"))).select(id_col, "kind").distinct()
+    return met.where(override_applies(F.col("value"), F.col("details"), F.col("text_content"), F.col("original_value"))).select(id_col, "kind", "value").distinct()
 
 
 def decide(markings: DataFrame, memory: DataFrame, id_col: str, model: Classifier | None = None, ready: bool = True) -> DataFrame:
@@ -177,7 +177,7 @@ def decide(markings: DataFrame, memory: DataFrame, id_col: str, model: Classifie
     flags = lambda df, name: df.groupBy(id_col).agg(*[F.max((F.col("kind") == k)).alias(f"{name}_{k}") for k in ("matched", "changed")])
     rows = markings.withColumns({"__text": text, "__old": old, "__alone": left_alone, "__cat": clean_category(F.col("category"))})
     open_rows = rows.where(~F.col("__alone"))
-    rows = rows.join(flags(_remembered(open_rows, memory, id_col), "__exact"), id_col, "left").join(flags(_overridden(open_rows, memory, id_col), "__wide"), id_col, "left")
+    rows = rows.join(flags(_remembered(open_rows, memory, id_col), "__exact"), id_col, "left").join(flags(overridden_values(open_rows, memory, id_col), "__wide"), id_col, "left")
     moves = memory.where("kind = 'category' and target <> ''").groupBy("key").agg(F.min("target").alias("target"))
     asked = open_rows.select(id_col, "__cat", F.posexplode(F.array(F.when(F.coalesce("text_content", F.lit("")) != "", memory_key(F.col("category"), F.col("text_content"))), F.when(F.coalesce("original_value", F.lit("")) != "", memory_key(F.col("category"), F.col("original_value"))))).alias("place", "key"))
     moved = asked.join(moves, "key").where(F.col("target") != F.col("__cat")).groupBy(id_col).agg(F.min_by("target", "place").alias("__moved"))

@@ -61,7 +61,7 @@ def _first_point(schema: StructType, geometry: str, vectors: Sequence[str]) -> C
             if field.name in vectors or _depth(field.dataType) != wanted:
                 continue
             value = F.col(f"{geometry}.{field.name}")
-            points = F.array(value) if wanted == 0 else value if wanted == 1 else F.flatten(value)
+            points = F.array(value) if wanted == 0 else value if wanted == 1 else F.flatten(F.filter(value, lambda g: g.isNotNull()))
             whole = F.filter(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
             first = F.get(whole, F.lit(0))
             found.append(F.when(first.isNotNull(), F.struct(first["x"].cast("double").alias("x"), first["y"].cast("double").alias("y"))))

@@ -47,9 +47,9 @@ def reopen(sessions: DataFrame, key: str, chosen, group: str, status: str, amend
 
 
 def same_entity(a: dict[str, Column], b: dict[str, Column], within: float = 0.01) -> Column:
-    """Whether two addresses name one entity: handles decide where both have one; else parent, type, layer, text and place do.
+    """Whether two addresses name one entity: handles decide, and one with a handle is never one without; where neither has one, parent, type, layer, text and place do.
 
-    Empty text and null are alike; an unknown place agrees only with an unknown one.
+    Empty text and null are alike; a place agrees within ``within`` along each axis, an unknown one only with an unknown one.
     """
 
     def blank(c: Column) -> Column:
@@ -59,8 +59,8 @@ def same_entity(a: dict[str, Column], b: dict[str, Column], within: float = 0.01
     rest = F.lit(True)
     for name in ("parent", "type", "layer", "text"):
         rest &= blank(a[name]).eqNullSafe(blank(b[name]))
-    near = F.coalesce(F.hypot(a["x"] - b["x"], a["y"] - b["y"]) <= within, a["x"].isNull() & b["x"].isNull())
-    return F.when(ha.isNotNull() & hb.isNotNull(), ha == hb).otherwise(rest & near)
+    near = F.coalesce((F.abs(a["x"] - b["x"]) <= within) & (F.abs(a["y"] - b["y"]) <= within), a["x"].isNull() & b["x"].isNull())
+    return F.when(ha.isNotNull() | hb.isNotNull(), F.coalesce(ha == hb, F.lit(False))).otherwise(rest & near)
 
 
 def finding_status(description: Column, severity: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sheet_rules import PLACEHOLDERS, SCALES
+
 
 def violations(df: DataFrame, rule: str, when: Column, subject: Column, detail: Column) -> DataFrame:
     """A row for every row for which a condition holds; an unknown condition doesn't."""
@@ -76,33 +78,33 @@ def run_rules(rules: list[DataFrame]) -> DataFrame:
     )
 
 
-# Scales that the standard knows; words that stand for a tolerance, a projection, a placeholder.
-SCALES = ["1:1", "1:2", "1:5", "1:10", "1:20", "1:50", "1:100", "2:1", "5:1", "10:1", "20:1", "50:1"]
-PLACEHOLDER = r"(?i)^(tbd|todo|xxx+|n/?a|\?+|-+)$"
-
-
 def off_scale(df: DataFrame, rule: str, text: Column, subject: Column, scales: list[str] = SCALES) -> DataFrame:
     """Texts that state a scale which is not one of the standard's."""
-    said = F.regexp_replace(F.regexp_extract(text, r"(?i)scale\s*:?\s*(\d+\s*:\s*\d+)", 1), r"\s+", "")
+    said = F.replace(F.regexp_replace(F.regexp_extract(text, r"(?i)scale\s*:?\s*(\d+\s*[:/]\s*\d+)", 1), r"\s+", ""), F.lit("/"), F.lit(":"))
     return violations(df, rule, (said != "") & ~said.isin(scales), subject, said)
 
 
 def off_measure(df: DataFrame, rule: str, stated: Column, measured: Column, scale: Column, by: str, order: str, most: int = 2, share: float = 0.05) -> DataFrame:
-    """Stated measures more than ``share`` off the measured one times the scale; the first ``most`` of each group by order."""
-    wrong = df.where((measured * scale != 0) & (F.abs(stated - measured * scale) > F.abs(measured * scale) * share))
+    """Stated measures (above zero) more than ``share`` off the measured one times the scale, and not that rounded, halves to even; the first ``most`` of each group by order."""
+    expected = measured * scale
+    wrong = df.where((stated > 0) & (expected > 0) & ~(stated / expected).between(1 - share, 1 + share) & (stated != F.rint(expected)))
     first = wrong.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_n") <= most)
     return first.select(F.lit(rule).alias("rule"), F.col(order).cast("string").alias("subject"), F.round(stated, 3).cast("string").alias("detail"))
 
 
 def placeholders(df: DataFrame, rule: str, text: Column, where: Column, subject: Column) -> DataFrame:
-    """Empty texts and placeholders where a text is wanted."""
-    return violations(df, rule, where & (F.coalesce(F.trim(text), F.lit("")) == "") | where & F.trim(text).rlike(PLACEHOLDER), subject, F.coalesce(text, F.lit("")))
+    """Texts that are empty or hold a placeholder, in any case, where a text is wanted."""
+    said = F.coalesce(F.trim(text), F.lit(""))
+    held = said == ""
+    for word in PLACEHOLDERS:
+        held |= F.contains(F.lower(said), F.lit(word))
+    return violations(df, rule, where & held, subject, F.coalesce(text, F.lit("")))
 
 
 def empty_attributes(df: DataFrame, rule: str, attributes: Column, subject: Column) -> DataFrame:
-    """One row for each attribute (of a map) without a value, named, in order."""
+    """One row for each attribute (of a map) that is there and blank, named; null ones aren't there."""
     held = df.select(subject.cast("string").alias("subject"), F.explode(F.map_entries(attributes)).alias("a"))
-    return held.where(F.coalesce(F.trim("a.value"), F.lit("")) == "").select(F.lit(rule).alias("rule"), "subject", F.col("a.key").alias("detail"))
+    return held.where(F.col("a.value").isNotNull() & (F.trim("a.value") == "")).select(F.lit(rule).alias("rule"), "subject", F.col("a.key").alias("detail"))
 
 
 def too_short_for(df: DataFrame, rule: str, text: Column, pattern: str, most: int, subject: Column) -> DataFrame:

@@ -193,25 +193,28 @@ def f38_session_search(spark, sf_dir):
     return rows.where(hit).select("o_orderkey")
 
 
+def _neighbours(spark, sf_dir):
+    """``conv_id, turn, a, b``: the text of every turn and of the one after it, if there is one."""
+    turns = Tables(spark, sf_dir).conversations
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    return turns.select("conv_id", "turn", F.col("text").alias("a")).join(after, ["conv_id", "turn"], "left")
+
+
 @book.add(r"""
 WITH t AS (
-  SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS a, max(CASE WHEN turn = 1 THEN text END) AS b
-  FROM conversations GROUP BY conv_id
-), v AS (SELECT conv_id, 'x' AS kind, a, b FROM t
-  UNION ALL SELECT conv_id, 'same', replace(a, 'ß', 's'), upper(replace(a, 'ß', 's')) FROM t UNION ALL SELECT conv_id, 'swap', '1:2', '1/2' FROM t
-  UNION ALL SELECT conv_id, 'none', 'NONE', b FROM t UNION ALL SELECT conv_id, 'gone', a, ' ' FROM t
+  SELECT a.conv_id, a.turn, a.text AS a, b.text AS b FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
+), v AS (SELECT conv_id, turn, 'x' AS kind, a, b FROM t
+  UNION ALL SELECT conv_id, turn, 'same', replace(a, 'ß', 's'), upper(replace(a, 'ß', 's')) FROM t UNION ALL SELECT conv_id, turn, 'swap', '1:2', '1/2' FROM t
+  UNION ALL SELECT conv_id, turn, 'none', 'NONE', b FROM t UNION ALL SELECT conv_id, turn, 'gone', a, ' ' FROM t
 ), n AS (SELECT *, trim(coalesce(nullif(a, ''), 'NONE')) AS o, trim(coalesce(nullif(b, ''), 'NONE')) AS k FROM v), f AS (
   SELECT *, CASE WHEN o = 'NONE' THEN '' ELSE regexp_replace(replace(regexp_replace(lower(o), '[x×ラｘ]', 'x', 'g'), ':', '/'), '[ \t\n]+', '', 'g') END AS fo,
     CASE WHEN k = 'NONE' THEN '' ELSE regexp_replace(replace(regexp_replace(lower(k), '[x×ラｘ]', 'x', 'g'), ':', '/'), '[ \t\n]+', '', 'g') END AS fk FROM n
 )
-SELECT conv_id, kind, CASE WHEN o = k THEN 'MATCHED' WHEN (contains(o, ':') AND contains(k, '/')) OR (contains(o, '/') AND contains(k, ':')) THEN 'CHANGED'
+SELECT conv_id, turn, kind, CASE WHEN o = k THEN 'MATCHED' WHEN (contains(o, ':') AND contains(k, '/')) OR (contains(o, '/') AND contains(k, ':')) THEN 'CHANGED'
   WHEN fo = fk THEN 'MATCHED' WHEN fo = '' THEN 'ADDED' WHEN fk = '' THEN 'REMOVED' ELSE 'CHANGED' END AS status FROM f
 """)
 def x06_compare_values(spark, sf_dir):
-    turns = Tables(spark, sf_dir).conversations
-    sides = turns.groupBy("conv_id").agg(
-        *[F.max(F.when(F.col("turn") == i, F.col("text"))).alias(c) for i, c in ((0, "a"), (1, "b"))]
-    )
+    sides = _neighbours(spark, sf_dir)
     cases = F.array(
         *[
             F.struct(F.lit(kind).alias("kind"), a.alias("o"), b.alias("n"))
@@ -221,8 +224,8 @@ def x06_compare_values(spark, sf_dir):
             )
         ]
     )
-    rows = sides.select("conv_id", F.inline(cases))
-    return rows.select("conv_id", "kind", X.compare_values(F.col("o"), F.col("n")).alias("status"))
+    rows = sides.select("conv_id", "turn", F.inline(cases))
+    return rows.select("conv_id", "turn", "kind", X.compare_values(F.col("o"), F.col("n")).alias("status"))
 
 
 @book.add(r"""
@@ -291,17 +294,12 @@ def x36_redaction(spark, sf_dir):
 
 
 @book.add("""
-SELECT conv_id, lower(trim(regexp_replace(max(CASE WHEN turn = 0 THEN text END), '[ \\t\\n]+', ' ', 'g'))) || '->' ||
-  coalesce(lower(trim(regexp_replace(max(CASE WHEN turn = 99999 THEN text END), '[ \\t\\n]+', ' ', 'g'))), '') AS key
-FROM conversations GROUP BY conv_id
+WITH k AS (SELECT conv_id, turn, coalesce(lower(trim(regexp_replace(text, '[ \\t\\n]+', ' ', 'g'))), '') AS key FROM conversations)
+SELECT a.conv_id, a.turn, CASE WHEN a.key = '' THEN coalesce(b.key, '') || '->' ELSE a.key || '->' || coalesce(b.key, '') END AS key
+FROM k a LEFT JOIN k b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
 """)
 def x16_pair_key(spark, sf_dir):
-    turns = Tables(spark, sf_dir).conversations
-    sides = turns.groupBy("conv_id").agg(
-        F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("a"),
-        F.max(F.when(F.col("turn") == 99999, F.col("text"))).alias("b"),
-    )
-    return sides.select("conv_id", X.pair_key(F.col("a"), F.col("b")).alias("key"))
+    return _neighbours(spark, sf_dir).select("conv_id", "turn", X.pair_key(F.col("a"), F.col("b")).alias("key"))
 
 
 @book.add("""
@@ -329,9 +327,5 @@ def x25_fractions_to_sheet(spark, sf_dir):
 
 @book.add()
 def x10_ratio(spark, sf_dir):
-    """Similarity of each conversation's first two turns."""
-    turns = Tables(spark, sf_dir).conversations
-    sides = turns.groupBy("conv_id").agg(
-        *[F.max(F.when(F.col("turn") == i, F.col("text"))).alias(c) for i, c in ((0, "a"), (1, "b"))]
-    )
-    return sides.select("conv_id", F.round(X.ratio(F.col("a"), F.col("b")), 6).alias("ratio"), X.normal_key(F.col("a")).alias("key"))
+    """Similarity of each turn and the next one of its conversation."""
+    return _neighbours(spark, sf_dir).select("conv_id", "turn", F.round(X.ratio(F.col("a"), F.col("b")), 6).alias("ratio"), X.normal_key(F.col("a")).alias("key"))

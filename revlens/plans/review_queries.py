@@ -46,14 +46,17 @@ def f11_exclusions(spark, sf_dir):
 
 
 @book.add("""
-SELECT p_partkey, regexp_matches(trim(substr(p_name, 1, 1)), '^([A-H]|[1-9]|1[0-2])$') AND NOT (p_size BETWEEN 4.5 AND 45.5 AND p_retailprice BETWEEN 999.0 AND 1901.0) AS label,
-  NOT (p_size BETWEEN 4.5 AND 45.5 AND p_retailprice BETWEEN 999.0 AND 1901.0) AS margin FROM part
+WITH p AS (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN chr(64 + p_size) WHEN p_partkey % 3 = 1 THEN chr(9311 + p_size) ELSE p_size::VARCHAR END AS text FROM part),
+l AS (SELECT *, regexp_matches(trim(text), '^([A-H]|0*[1-9]|0*1[0-2])$|[①-⑫]') AND NOT (p_size BETWEEN 4.5 AND 45.5 AND p_retailprice BETWEEN 999.0 AND 1901.0) AS label FROM p)
+SELECT p_partkey, label, label OR NOT (p_size BETWEEN 1.25 AND 48.75 AND p_retailprice BETWEEN 927.5 AND 1972.5) AS margin FROM l
 """)
 def f12_margin_grid(spark, sf_dir):
     part = Tables(spark, sf_dir).part
     x, y = F.col("p_size"), F.col("p_retailprice")
-    label = D.grid_label(X.nfkc(F.substring("p_name", 1, 1)), x, y, SHEET)
-    return part.select("p_partkey", label.alias("label"), D.in_band(x, y, SHEET).alias("margin"))
+    key = F.col("p_partkey") % 3
+    circled = F.get(F.array(*[F.lit(chr(9311 + k)) for k in range(1, 51)]), x.cast("int") - 1)
+    text = F.when(key == 0, F.char(64 + x)).when(key == 1, circled).otherwise(x.cast("string"))
+    return part.select("p_partkey", D.grid_label(text, x, y, SHEET).alias("label"), D.in_margin(text, x, y, SHEET).alias("margin"))
 
 
 @book.add("""
@@ -169,7 +172,7 @@ def f41_peers(spark, sf_dir):
 
 FOUND_SQL = """
 WITH lab AS (SELECT l_orderkey * 10 + l_linenumber AS label_id, l_orderkey % 50 AS pair_id, CASE WHEN l_linenumber = 3 THEN '' ELSE (l_partkey % 40)::VARCHAR END AS handle,
-    l_returnflag || (l_suppkey % 9) AS text, l_linenumber <> 4 AS resolved, l_returnflag AS kind FROM lineitem WHERE l_linenumber < 5),
+    l_returnflag || (l_suppkey % 9) AS text, l_linenumber <> 4 AS resolved, l_returnflag AS kind FROM lineitem),
 found AS (SELECT o_orderkey AS found_id, o_orderkey % 50 AS pair_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_custkey % 40)::VARCHAR END AS handle,
     substr('ANR', (o_custkey % 3 + 1)::INT, 1) || (o_orderkey % 9) AS text, substr('ANR', (o_orderkey % 3 + 1)::INT, 1) AS kind FROM orders),
 h AS (SELECT label_id, found_id, 'handle' AS tier FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, handle ORDER BY label_id) AS n FROM lab WHERE handle <> '') a
@@ -182,7 +185,7 @@ m AS (SELECT * FROM h UNION ALL SELECT * FROM x)
 
 def _scored(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    labels = t.lineitem.where("l_linenumber < 5").select(
+    labels = t.lineitem.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("label_id"), (F.col("l_orderkey") % 50).alias("pair_id"),
         F.when(F.col("l_linenumber") == 3, "").otherwise((F.col("l_partkey") % 40).cast("string")).alias("handle"),
         F.concat("l_returnflag", F.col("l_suppkey") % 9).alias("text"), (F.col("l_linenumber") != 4).alias("resolved"), F.col("l_returnflag").alias("kind"),
@@ -415,12 +418,13 @@ def l20_summary(spark, sf_dir):
 
 
 @book.add(r"""
-WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), m AS (SELECT doc_id, list_filter(list_transform(lines, lambda l: regexp_extract(upper(l), '(?:^|\P{L})REV\.?\s*([A-Z])(?:\P{L}|$)', 1)), lambda x: x <> '') AS found FROM t)
-SELECT doc_id, coalesce(found[-1], 'A') AS letter FROM m
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), m AS (SELECT doc_id, list_filter(list_transform(lines, lambda l: regexp_extract(trim(l), '(?i)(?:^|[^\p{L}\p{N}_])(?:REV|revision)\.?\s*([A-Z0-9]+)(?:$|[^\p{L}\p{N}_])', 1)), lambda x: x <> '') AS found FROM t)
+SELECT doc_id, coalesce(found[-1], 'A') AS letter, CASE WHEN coalesce(found[-1], 'A') = 'A' AND doc_id % 2 = 0 THEN 'B' ELSE coalesce(found[-1], 'A') END AS advanced FROM m
 """)
 def g06_revision_letter(spark, sf_dir):
     docs = Tables(spark, sf_dir).documents
-    return docs.select("doc_id", D.revision_letter(F.split("text", "\n"), "A").alias("letter"))
+    letter = D.revision_letter(F.split("text", "\n"), "A")
+    return docs.select("doc_id", letter.alias("letter"), D.advanced_revision(F.lit("A"), letter, F.col("doc_id") % 2 == 0).alias("advanced"))
 
 
 @book.add("SELECT p_partkey, CASE WHEN p_type LIKE '%scale%' OR p_size = 7 THEN 'ISO 5455' ELSE 'internal' END AS standard FROM part")
@@ -526,15 +530,15 @@ def d14_reopen(spark, sf_dir):
 
 
 @book.add("""
-WITH a AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 3 = 0 THEN '' ELSE (event_id % 5)::VARCHAR END AS handle, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS x, lead(event_id) OVER (ORDER BY event_id) AS nxt FROM events)
-SELECT a.event_id, CASE WHEN a.handle <> '' AND b.handle <> '' THEN a.handle = b.handle ELSE a.event_type = b.event_type AND (coalesce(abs(a.x - b.x) <= 0.01, a.x IS NULL AND b.x IS NULL)) END AS same FROM a JOIN a b ON a.event_id % 1000 = b.event_id % 1000 AND a.event_id < b.event_id
+WITH a AS (SELECT event_id, event_type, CASE WHEN event_id % 3 = 0 THEN '' ELSE (event_id % 5)::VARCHAR END AS handle, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 5.0::DOUBLE ELSE value END AS x FROM events)
+SELECT a.event_id, CASE WHEN a.handle <> '' OR b.handle <> '' THEN a.handle = b.handle ELSE a.event_type = b.event_type AND (coalesce(abs(a.x - b.x) <= 0.01, a.x IS NULL AND b.x IS NULL)) END AS same FROM a JOIN a b ON b.event_id = a.event_id + 3
 """)
 def d15_same_entity(spark, sf_dir):
     events = Tables(spark, sf_dir).events.select(
         "event_id", "event_type", F.when(F.col("event_id") % 3 == 0, "").otherwise((F.col("event_id") % 5).cast("string")).alias("handle"),
-        F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("x"), (F.col("event_id") % 1000).alias("k"),
+        F.when(F.col("event_id") % 7 == 0, None).when(F.col("event_id") % 2 == 0, 5.0).otherwise(F.col("value")).alias("x"),
     )
-    pairs = events.alias("a").join(events.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.event_id") < F.col("b.event_id")))
+    pairs = events.alias("a").join(events.alias("b"), F.col("b.event_id") == F.col("a.event_id") + 3)
 
     def address(side):
         return {"handle": F.col(f"{side}.handle"), "type": F.col(f"{side}.event_type"), "x": F.col(f"{side}.x"), "y": F.lit(0.0), "parent": F.lit(None).cast("string"), "layer": F.lit(""), "text": F.lit("")}
@@ -581,13 +585,13 @@ def d40_learned_rules(spark, sf_dir):
 
 
 @book.add("""
-SELECT nation.n_name AS name, count(*) AS n, list_sort(list(c_custkey))[1:3] AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1
+SELECT nation.n_name AS name, c_mktsegment AS segment, count(*) AS n, list_sort(list(c_custkey)) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL
 """)
 def d45_nested_report(spark, sf_dir):
-    """One document a nation with its customers nested; a report shows the first three."""
+    """One document a nation and segment with its customers nested, as a report nests all its findings."""
     t = Tables(spark, sf_dir)
     rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy(F.col("n_name").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_list("c_custkey")), 1, 3).alias("customers"))
+    return rows.groupBy(F.col("n_name").alias("name"), F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("c_custkey")).alias("customers"))
 
 
 @book.add("SELECT event_id, CASE WHEN user_id % 10 = 1 AND value > 10 THEN 'revoked' WHEN value > 10 THEN 'active' ELSE 'ended' END AS status FROM events")
@@ -619,11 +623,16 @@ def u04_universal_first(spark, sf_dir):
     return universal.union(part.where("p_brand = 'Brand#11'").select(F.lit("client"), "p_partkey"))
 
 
-@book.add(r"SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '\b[A-Z]{2,}[0-9]+\b'), lambda t: upper(t)))) AS tokens FROM documents")
+@book.add(r"""
+WITH t AS (SELECT l_suppkey, trim(CASE l_partkey % 4 WHEN 0 THEN ' m' || l_orderkey || 'a' || l_linenumber WHEN 1 THEN 'C' || l_partkey || 'P' WHEN 2 THEN 'see M' || l_orderkey ELSE 'M' || l_linenumber END) AS text FROM lineitem)
+SELECT l_suppkey, list_sort(list(DISTINCT upper(text))) AS tokens FROM t WHERE length(text) >= 5 AND regexp_matches(text, '(?i)^[A-Z][0-9]{3,6}[A-Z0-9]{0,6}$') GROUP BY l_suppkey
+""")
 def u07_identity_tokens(spark, sf_dir):
-    docs = Tables(spark, sf_dir).documents
-    found = F.regexp_extract_all("text", F.lit(r"\b[A-Z]{2,}[0-9]+\b"), F.lit(0))
-    return docs.select("doc_id", F.array_sort(F.array_distinct(F.transform(found, F.upper))).alias("tokens"))
+    """Texts of each supplier's lines that are drawing numbers as a whole."""
+    k = F.col("l_partkey") % 4
+    text = F.when(k == 0, F.concat(F.lit(" m"), "l_orderkey", F.lit("a"), "l_linenumber")).when(k == 1, F.concat(F.lit("C"), "l_partkey", F.lit("P"))).when(k == 2, F.concat(F.lit("see M"), "l_orderkey")).otherwise(F.concat(F.lit("M"), "l_linenumber"))
+    said = Tables(spark, sf_dir).lineitem.select("l_suppkey", F.upper(F.btrim(text)).alias("t")).where(F.col("t").rlike(r"^[A-Z][0-9]{3,6}[A-Z0-9]{0,6}$") & (F.char_length("t") >= 5))
+    return said.distinct().groupBy("l_suppkey").agg(F.array_sort(F.collect_list("t")).alias("tokens"))
 
 
 @book.add("""
@@ -711,7 +720,7 @@ def x27_view_transform(spark, sf_dir):
 
 @book.add("""
 WITH w AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN -1 WHEN 1 THEN -2 WHEN 2 THEN -3 ELSE p_size END AS own, p_size % 4 * 25 AS layer, -3 AS block, CASE p_size % 3 WHEN 0 THEN 256 WHEN 1 THEN 0 ELSE p_size % 12 END AS c FROM part)
-SELECT p_partkey, CASE own WHEN -1 THEN layer / 100.0 WHEN -2 THEN 0.25 WHEN -3 THEN 0.25 ELSE own / 100.0 END AS mm,
+SELECT p_partkey, CASE WHEN own IN (-1, -2) THEN layer / 100.0 WHEN own = -3 THEN 0.25 ELSE own / 100.0 END AS mm,
   coalesce((MAP {1: '#ff0000', 2: '#ffff00', 3: '#00ff00', 4: '#00ffff', 5: '#0000ff', 6: '#ff00ff', 7: '#ffffff', 8: '#808080', 9: '#c0c0c0'})[CASE c WHEN 256 THEN 3 WHEN 0 THEN 5 ELSE c END], '#000000') AS colour FROM w
 """)
 def x29_line_attributes(spark, sf_dir):
@@ -719,7 +728,7 @@ def x29_line_attributes(spark, sf_dir):
     own = F.when(size % 5 == 0, -1).when(size % 5 == 1, -2).when(size % 5 == 2, -3).otherwise(size)
     colour = F.when(size % 3 == 0, 256).when(size % 3 == 1, 0).otherwise(size % 12)
     return Tables(spark, sf_dir).part.select(
-        "p_partkey", D.line_weight_mm(own, size % 4 * 25, F.lit(-3)).alias("mm"), D.stroke_colour(colour, F.lit(3), F.lit(5)).alias("colour")
+        "p_partkey", D.line_weight_mm(own, size % 4 * 25).alias("mm"), D.stroke_colour(colour, F.lit(3), F.lit(5)).alias("colour")
     )
 
 
@@ -729,14 +738,10 @@ def d42_dashes(spark, sf_dir):
     return Tables(spark, sf_dir).part.select("p_partkey", D.dash_pattern(own, F.array(F.lit(2.0)), F.col("p_size")).alias("dashes"))
 
 
-@book.add(r"""
-SELECT doc_id, lower(regexp_replace(text, '[ \t\n\r]+', '', 'g')) AS key FROM documents WHERE NOT regexp_matches(lower(regexp_replace(text, '[ \t\n\r]+', '', 'g')), 'dia|deg|rad|[^\x00-\x7Fà-öø-ÿß«»—–’‘“”]')
-""")
+@book.add()
 def x01_normal_key(spark, sf_dir):
-    """Texts without any sign to fold: their key is the text in lower case without white space. The folds have tests of their own."""
-    docs = Tables(spark, sf_dir).documents
-    plain = ~F.lower(F.regexp_replace("text", "[ \\t\\n\\r]+", "")).rlike("dia|deg|rad|[^\\x00-\\x7Fà-öø-ÿß«»—–’‘“”]")
-    return docs.where(plain).select("doc_id", X.normal_key(F.col("text")).alias("key"))
+    """The key of every document's text."""
+    return Tables(spark, sf_dir).documents.select("doc_id", X.normal_key(F.col("text")).alias("key"))
 
 
 @book.add("""
@@ -782,7 +787,7 @@ def r04_scale(spark, sf_dir):
 
 
 @book.add("""
-WITH w AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part WHERE abs(p_retailprice - p_size * 40.0) > p_size * 40.0 * 0.05)
+WITH w AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part WHERE p_retailprice > 0 AND NOT p_retailprice / (p_size * 40.0::DOUBLE) BETWEEN 0.95 AND 1.05 AND p_retailprice <> round_even(p_size * 40.0::DOUBLE, 0))
 SELECT 'measure' AS rule, p_partkey::VARCHAR AS subject, round(p_retailprice, 3)::VARCHAR AS detail FROM w WHERE n <= 2
 """)
 def r05_measure(spark, sf_dir):
@@ -791,16 +796,16 @@ def r05_measure(spark, sf_dir):
 
 
 @book.add("""
-SELECT 'placeholder' AS rule, p_partkey::VARCHAR AS subject, CASE p_size % 4 WHEN 0 THEN 'TBD' WHEN 1 THEN ' ' ELSE '--' END AS detail FROM part WHERE p_size % 4 < 3 AND p_size > 10
+SELECT 'placeholder' AS rule, p_partkey::VARCHAR AS subject, CASE p_size % 4 WHEN 0 THEN 'see N/A' WHEN 1 THEN ' ' ELSE '-----' END AS detail FROM part WHERE p_size % 4 < 3 AND p_size > 10
 """)
 def r07_placeholder(spark, sf_dir):
     size = F.col("p_size")
-    text = F.when(size % 4 == 0, "TBD").when(size % 4 == 1, " ").when(size % 4 == 2, "--").otherwise(F.col("p_name"))
+    text = F.when(size % 4 == 0, "see N/A").when(size % 4 == 1, " ").when(size % 4 == 2, "-----").otherwise(F.lit("TBD"))
     return rules.placeholders(Tables(spark, sf_dir).part, "placeholder", text, size > 10, F.col("p_partkey"))
 
 
 @book.add("""
-SELECT 'attribute' AS rule, p_partkey::VARCHAR AS subject, a AS detail FROM (SELECT p_partkey, unnest(['brand', 'size']) AS a, p_size FROM part) WHERE (a = 'brand' AND p_size % 2 = 0) OR (a = 'size' AND p_size % 3 = 0)
+SELECT 'attribute' AS rule, p_partkey::VARCHAR AS subject, a AS detail FROM (SELECT p_partkey, unnest(['brand', 'size']) AS a, p_size FROM part) WHERE a = 'size' AND p_size % 3 = 0
 """)
 def r09_empty_attribute(spark, sf_dir):
     size = F.col("p_size")
@@ -820,7 +825,7 @@ def r10_orphan_text(spark, sf_dir):
 @book.add("SELECT 'thread' AS rule, p_partkey::VARCHAR AS subject, 'M' || p_size AS detail FROM part WHERE p_size < 30")
 def r16_thread(spark, sf_dir):
     text = F.concat(F.lit("M"), F.col("p_size"), F.when(F.col("p_size") >= 30, " x 1.5").otherwise(""))
-    return rules.too_short_for(Tables(spark, sf_dir).part, "thread", text, r"M\d+", 4, F.col("p_partkey"))
+    return rules.too_short_for(Tables(spark, sf_dir).part, "thread", text, r"(?i)(?U)\b(M\s*\d+)\b", 4, F.col("p_partkey"))
 
 
 @book.add("""
@@ -831,7 +836,7 @@ UNION ALL SELECT 'few', user_id::VARCHAR, a || '/' || b FROM (SELECT user_id, co
 UNION ALL SELECT 'units', event_id::VARCHAR, '-1' FROM events WHERE floor(value) = 1
 """)
 def r03_sheet_rules(spark, sf_dir):
-    """Rules on what a sheet lacks: R03 dimensions, R06 and R15 a note, R14 and R17 a layer that goes with it, R18 a fit's roughness, R19 units."""
+    """The forms of rules on what a group lacks - a note, a companion, enough of a kind, a known unit - on events; the drafting rules proper are queries of their own."""
     events = Tables(spark, sf_dir).events
     kind, value = F.col("event_type"), F.col("value")
     return rules.missing_in(events, events, "no note", "user_id", (kind == "signup") & (value > 30)).union(
@@ -865,10 +870,11 @@ def l06_records(spark, sf_dir):
 
 
 @book.add("""
-WITH l AS (SELECT doc_id, source AS section FROM documents WHERE doc_id % 97 = 3 OR source = 'src1') SELECT section AS query, min(doc_id) AS relevant FROM l WHERE section <> '' GROUP BY section HAVING count(*) = 1
+WITH l AS (SELECT doc_id, source || '/' || lang || '/' || n_chars AS section FROM documents) SELECT section AS query, min(doc_id) AS relevant FROM l WHERE section <> '' GROUP BY section HAVING count(*) = 1
 """)
 def l11_heading_labels(spark, sf_dir):
-    docs = Tables(spark, sf_dir).documents.where("doc_id % 97 = 3 or source = 'src1'").withColumnRenamed("source", "section")
+    docs = Tables(spark, sf_dir).documents.withColumn("section", F.concat_ws("/", "source", "lang", F.col("n_chars").cast("string")))
+    docs = docs.withColumn("section", F.when(F.col("source").isNotNull() & F.col("lang").isNotNull(), F.col("section")))
     return records.heading_labels(docs, "doc_id", "section")
 
 

@@ -4,9 +4,11 @@ import difflib
 import math
 import random
 import re
+import unicodedata
 from collections import Counter
 
 from revlens import catalog
+from revlens.functions.text import FOLDS
 from revlens.operators import ordered
 
 
@@ -80,3 +82,31 @@ def test_bm25_answers_all_items(spark):
     asked = {r.item_id for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
     got = {r.item_id for r in catalog.queries()["l02_bm25_all"](spark, folder).collect()}
     assert got == asked and len(got) == 40
+
+
+def test_keys_of_all_texts_with_signs_to_fold(spark, tmp_path):
+    signs = "".join(old for old, _ in FOLDS) + "ＡＢＣ①ﾊﾟ㎜ﬁ Ａ　Ｂ\t\n"
+    rng = random.Random(8)
+    rows = [(k, "".join(rng.choice(signs + "xyz DIA deg") for _ in range(rng.randrange(40)))) for k in range(300)] + [(900, None), (901, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def key(t):
+        t = re.sub("[ \\n\\t\\r\u3000]+", "", unicodedata.normalize("NFKC", t).lower())
+        for old, new in FOLDS:
+            t = t.replace(old, new)
+        return t
+
+    got = {r.doc_id: r.key for r in catalog.queries()["x01_normal_key"](spark, str(tmp_path)).collect()}
+    assert got == {k: key(t) if t is not None else None for k, t in rows}
+
+
+def test_ratio_of_neighbouring_turns(spark, tmp_path):
+    rng = random.Random(9)
+    turns = [(c, k, " ".join(rng.choice(["plan", "wall", "door"]) for _ in range(rng.randrange(4))) or None) for c in range(20) for k in range(rng.randrange(1, 5))]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    text = {(c, k): t for c, k, t in turns}
+    got = {(r.conv_id, r.turn): r.ratio for r in catalog.queries()["x10_ratio"](spark, str(tmp_path)).collect()}
+    for (c, k), a in text.items():
+        b = text.get((c, k + 1))
+        assert got.pop((c, k)) == (round(difflib.SequenceMatcher(None, a, b, autojunk=False).ratio(), 6) if a and b else 0.0)
+    assert not got
