@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .folds import checkpointed, fold
 from .ordered import columns_by_step
+from .zones import folded
 
 BASE_HEIGHT = 2.5
 UPRIGHT, LEAST_RULE = 0.05, 0.5
@@ -159,3 +162,97 @@ def value_band(bands: DataFrame, factor: float = GAP_FACTOR) -> DataFrame:
     strayed = F.coalesce((F.col("band") >= 2) & (F.col("gap") > F.col("most") * factor) & ~fills, F.lit(False))
     n = rows.groupBy("table").agg(F.max("band").alias("last"), F.min(F.when(strayed, F.col("band") - 1)).alias("cut"))
     return n.select("table", F.coalesce("cut", "last").alias("band"))
+
+
+TEXTS = ["text", "mtext", "attrib"]
+BAND_GAP, EDGE, LEAST_REACH, REACH_FACTOR = 4.0, 0.08, 30.0, 1.5
+CIRCLED = "[①②③④⑤⑥⑦⑧⑨⑩⑪⑫]"
+# Headers that mean the same, in letters, digits and East Asian signs alone.
+SYNONYMS = [("unitno", "ユニットno"), ("partno", "コードno"), ("tqty", "総製作個数"), ("stockqty", "在庫棚入庫")]
+
+
+def title_fields(entities: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``sheet, place, key, value, x, y``: the values of the table in each sheet's box (sheet, xmin, ymin, xmax, ymax), each with the headers above it.
+
+    entities: ``sheet, ord, kind, text, x, y``. Texts of the box, but for grid labels (one character at most or a circled number, in the left or upper 8 in 100), form bands from the top: a new one where a text is over 4 units below the one before. The band of
+    values is that of :func:`value_band`; a table needs a band of headers above it. A value takes from every header band the header nearest in x, if that is within one and a half of the mean column width (30 at least); equal texts once, numbers not, the lowest band first, joined
+    by `` / ``; ``Value`` without any. Blank values are none. place counts from the left.
+
+    The nearest header is found by a window over headers and values in order of x, from either side, so headers and values of a table make no pairs.
+    """
+    b = boxes.select("sheet", F.struct("xmin", "ymin", "xmax", "ymax").alias("b"))
+    e = entities.where(F.col("kind").isin(TEXTS) & F.col("x").isNotNull() & F.col("y").isNotNull()).select("sheet", "ord", F.btrim(F.coalesce("text", F.lit(""))).alias("text"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    e = e.join(b, "sheet").where(F.col("x").between(F.col("b.xmin"), F.col("b.xmax")) & F.col("y").between(F.col("b.ymin"), F.col("b.ymax")))
+    size = lambda lo, hi: F.coalesce(F.nullif(F.col(f"b.{hi}") - F.col(f"b.{lo}"), F.lit(0.0)), F.lit(1.0))
+    edge = (F.col("x") < F.col("b.xmin") + EDGE * size("xmin", "xmax")) | (F.col("y") > F.col("b.ymax") - EDGE * size("ymin", "ymax"))
+    e = e.where(~(((F.char_length("text") <= 1) | F.col("text").rlike(CIRCLED)) & edge)).drop("b")
+    down = Window.partitionBy("sheet").orderBy(F.desc("y"), "ord")
+    step = F.when(F.lag("y").over(down) - F.col("y") > BAND_GAP, 1).otherwise(0)
+    e = e.withColumns({"step": step, "rank": F.row_number().over(down)})
+    e = checkpointed(e.withColumn("band", F.sum("step").over(down.rowsBetween(Window.unboundedPreceding, 0))).drop("step"))
+    bands = e.groupBy("sheet").agg(F.max("band").alias("last"), (F.max("x") - F.min("x")).alias("wide"), F.count(F.lit(1)).alias("n")).where("last >= 1")
+    chosen = value_band(e.join(bands.select("sheet"), "sheet", "left_semi").select(F.col("sheet").alias("table"), "band", "x", "y")).withColumnsRenamed({"table": "sheet", "band": "value_band"}).where("value_band >= 1")
+    e = e.join(chosen, "sheet").where(F.col("band") <= F.col("value_band"))
+    left = Window.partitionBy("sheet").orderBy("x", "rank")
+    values = e.where("band = value_band").withColumn("place", F.row_number().over(left))
+    n_values = values.groupBy("sheet").agg(F.count(F.lit(1)).alias("n_values"))
+    wide = F.when(F.col("n") > 1, F.col("wide")).otherwise(F.lit(9999.0))
+    reach = bands.join(n_values, "sheet").select("sheet", F.greatest(wide / F.col("n_values") * REACH_FACTOR, F.lit(LEAST_REACH)).alias("reach"))
+    asked = values.where("text <> ''").select("sheet", "place", "x", F.explode(F.sequence(F.lit(0), F.col("value_band") - 1)).alias("band"))
+    none = F.lit(None)
+    rows = e.where("band < value_band").select("sheet", "band", "x", "rank", F.struct("x", "rank", "text").alias("header"), none.cast("int").alias("place"))
+    rows = rows.union(asked.select("sheet", "band", "x", none.cast("int"), none.cast("struct<x:double,rank:int,text:string>"), "place"))
+    # Of headers at one place the first in the band's order counts; a value sees those at its own place from both sides.
+    own = F.coalesce("rank", F.lit(0))
+    before = Window.partitionBy("sheet", "band").orderBy("x", F.when(F.col("place").isNotNull(), 1).otherwise(0), F.desc(own)).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("sheet", "band").orderBy(F.desc("x"), F.when(F.col("place").isNotNull(), 1).otherwise(0), F.desc(own)).rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumns({"l": F.last("header", ignorenulls=True).over(before), "r": F.last("header", ignorenulls=True).over(after)}).where("place is not null")
+    off = lambda h: F.abs(F.col(f"{h}.x") - F.col("x"))
+    first = F.col("r").isNull() | (off("l") < off("r")) | ((off("l") == off("r")) & (F.col("l.rank") <= F.col("r.rank")))
+    seen = seen.withColumn("h", F.when(F.coalesce(first, F.lit(False)) & F.col("l").isNotNull(), F.col("l")).otherwise(F.col("r"))).join(reach, "sheet")
+    told = seen.where((F.abs(F.col("h.x") - F.col("x")) <= F.col("reach")) & (F.col("h.text") != "") & ~F.col("h.text").rlike(r"(?U)^\d+$"))
+    keys = told.groupBy("sheet", "place").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("band", F.col("h.text").alias("text")))), lambda p: p["text"])).alias("parts"))
+    parts = F.filter(F.reverse("parts"), lambda p: ~p.rlike("^[①②③④]"))
+    key = F.when(F.size(parts) > 0, F.array_join(parts, " / ")).otherwise("Value")
+    return values.where("text <> ''").join(keys, ["sheet", "place"], "left").select("sheet", "place", F.when(F.col("parts").isNull(), "Value").otherwise(key).alias("key"), F.col("text").alias("value"), "x", "y")
+
+
+class _Assign:
+    """Pairs taken in order, each side once."""
+
+    def __init__(self):
+        self.old: set[int] = set()
+        self.new: set[int] = set()
+
+    def take(self, rows: pa.Table) -> list[tuple]:
+        out = []
+        for o, n in zip(rows["old_place"].to_pylist(), rows["new_place"].to_pylist(), strict=True):
+            if o not in self.old and n not in self.new:
+                self.old.add(o)
+                self.new.add(n)
+                out.append((o, n))
+        return out
+
+    def end(self) -> list[tuple]:
+        return []
+
+
+def matched_fields(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``sheet, old_place, new_place, old_key, new_key, old_value, new_value``: fields of two revisions (sheet, place, key, value) side by side; one side null where a field has no partner.
+
+    Old fields take, in order, the first new one left that shares a header with them (headers are parted by `` / ``, and equal in NFKC, lower case and single blanks), else the first that has one of the same meaning. Candidates come from equal headers; only the taking goes by order, and holds the
+    places taken.
+    """
+    parts = lambda df, side: df.select("sheet", F.col("place").alias(f"{side}_place"), F.explode(F.filter(F.transform(F.split(folded(F.replace("key", F.lit(" / "), F.lit("\u0000"))), "\u0000"), F.btrim), lambda p: p != "")).alias("header")).distinct()
+    a, b = parts(old, "old"), parts(new, "new")
+    bare_header = F.regexp_replace("header", r"[^0-9a-z぀-ヿ一-鿿]", "")
+    group = F.coalesce(*[F.when(bare_header.isin(*g), F.lit(k)) for k, g in enumerate(SYNONYMS)])
+    meaning = lambda df, side: df.select("sheet", f"{side}_place", group.alias("group")).where("group is not null").distinct()
+    exact = a.join(b, ["sheet", "header"]).select("sheet", "old_place", "new_place", F.lit(0).alias("tier"))
+    alike = meaning(a, "old").join(meaning(b, "new"), ["sheet", "group"]).select("sheet", "old_place", "new_place", F.lit(1).alias("tier"))
+    edges = exact.union(alike).groupBy("sheet", "old_place", "new_place").agg(F.min("tier").alias("tier"))
+    taken = fold(edges, ["sheet"], ["old_place", "tier", "new_place"], _Assign, "took_old int, took_new int")
+    side = lambda df, s: df.select("sheet", F.col("place").alias(f"{s}_place"), F.col("key").alias(f"{s}_key"), F.col("value").alias(f"{s}_value"))
+    with_old = side(old, "old").join(taken.select("sheet", F.col("took_old").alias("old_place"), F.col("took_new").alias("new_place")), ["sheet", "old_place"], "left")
+    both = with_old.join(side(new, "new"), ["sheet", "new_place"], "full")
+    return both.select("sheet", "old_place", "new_place", "old_key", "new_key", "old_value", "new_value")

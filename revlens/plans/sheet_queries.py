@@ -349,3 +349,22 @@ def a27_amendment_boxes(spark, sf_dir):
     """Boxes of the tables of amendments of every sheet, by headers that stand together."""
     e = entities(spark, sf_dir)
     return tables.amendment_boxes(e.where("kind = 'text'"), zones.sheet_bounds(e))
+
+
+def _ul_boxes(e: DataFrame) -> DataFrame:
+    return e.select("sheet").distinct().select("sheet", F.lit(0.0).alias("xmin"), F.lit(150.0).alias("ymin"), F.lit(420.0).alias("xmax"), F.lit(297.0).alias("ymax"))
+
+
+@book.add()
+def j15_title_fields(spark, sf_dir):
+    """Values of the table in the upper half of every sheet, each with the headers above it."""
+    e = entities(spark, sf_dir)
+    return titles.title_fields(e, _ul_boxes(e))
+
+
+@book.add()
+def j14_matched_fields(spark, sf_dir):
+    """Those fields of one and the other half of each sheet's texts side by side, by shared headers or ones of the same meaning."""
+    e = entities(spark, sf_dir)
+    sides = [titles.title_fields(e.where(F.pmod("ord", F.lit(2)) == side), _ul_boxes(e)) for side in (0, 1)]
+    return titles.matched_fields(*sides)
