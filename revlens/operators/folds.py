@@ -41,6 +41,26 @@ class Fold(Protocol):
         """What the group gives at its end."""
 
 
+class Assign:
+    """Pairs (``old, new``) taken in order, each side once; holds what is taken."""
+
+    def __init__(self):
+        self.old: set = set()
+        self.new: set = set()
+
+    def take(self, rows: pa.Table) -> list[tuple]:
+        out = []
+        for o, n in zip(rows["old"].to_pylist(), rows["new"].to_pylist(), strict=True):
+            if o not in self.old and n not in self.new:
+                self.old.add(o)
+                self.new.add(n)
+                out.append((o, n))
+        return out
+
+    def end(self) -> list[tuple]:
+        return []
+
+
 def fold(df: DataFrame, by: list[str], order: list[str], start: Callable[[], Fold], schema: str) -> DataFrame:
     """Rows (``by``, then ``schema``'s columns) of a fold over each group of ``df`` in ``order``.
 

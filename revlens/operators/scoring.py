@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import Assign, checkpointed, fold
+from .matching import grid_join
+
+NEAR = 35.0  # fixed value: how far a prediction may lie from a label that it is matched with by place
 
 def _paired(labels: DataFrame, found: DataFrame, keys: list[str], tier: str) -> DataFrame:
     """``label_id, found_id, tier``: of each key the first label with the first prediction, the second with the second."""
@@ -30,6 +34,61 @@ def tiered_matches(labels: DataFrame, found: DataFrame, within: str = "pair_id",
     return out
 
 
+def preferred_matches(labels: DataFrame, found: DataFrame, radius: float = NEAR) -> DataFrame:
+    """``pair_id, label_id, found_id, tier``: labels and predictions of a pair, each used once, by handle, then by text, then by place.
+
+    labels and found: ``pair_id``, an id (label_id, found_id: their order), ``handle, texts`` (array), ``x, y, category, status``. In each tier the labels left take, in order, the best prediction left: of their category if one is there, then of their status, then the nearest, then the
+    first. A handle is equal, not empty; texts share a member, not empty; a place is at most ``radius`` away. Candidates come from equality and grid joins; the taking goes through them in order and holds the ids taken.
+    """
+    out = None
+    l = labels.select("pair_id", F.col("label_id").cast("long").alias("old"), "handle", "texts", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("category").alias("c"), F.col("status").alias("s"))  # noqa: E741
+    f = found.select("pair_id", F.col("found_id").cast("long").alias("new"), "handle", "texts", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("category").alias("fc"), F.col("status").alias("fs"))
+
+    def edges(tier: str, l: DataFrame, f: DataFrame) -> DataFrame:  # noqa: E741
+        if tier == "handle":
+            met = l.where("handle <> ''").join(f.where("handle <> ''").drop("texts", "x", "y"), ["pair_id", "handle"])
+        elif tier == "text":
+            text = F.explode(F.array_distinct(F.filter("texts", lambda t: t != ""))).alias("text")
+            met = l.select("pair_id", "old", "c", "s", text).join(f.select("pair_id", "new", "fc", "fs", text), ["pair_id", "text"]).dropDuplicates(["pair_id", "old", "new"])
+        else:
+            placed = "x is not null and y is not null"
+            near = grid_join(l.where(placed).select("pair_id", "old", "c", "s", "x", "y"), f.where(placed).select("pair_id", "new", "fc", "fs", "x", "y"), radius, ["pair_id"])
+            met = near.select("l.pair_id", "l.old", "l.c", "l.s", "r.new", "r.fc", "r.fs", "distance")
+        off = F.when(F.col("c").eqNullSafe(F.col("fc")), 0).otherwise(1)
+        odd = F.when(F.col("s").eqNullSafe(F.col("fs")), 0).otherwise(1)
+        return met.select("pair_id", "old", "new", off.alias("off"), odd.alias("odd"), (F.col("distance") if tier == "spatial" else F.lit(0.0)).alias("far"))
+
+    for tier in ("handle", "text", "spatial"):
+        if out is not None:
+            l = l.join(out.select("pair_id", F.col("label_id").alias("old")), ["pair_id", "old"], "left_anti")  # noqa: E741
+            f = f.join(out.select("pair_id", F.col("found_id").alias("new")), ["pair_id", "new"], "left_anti")
+        taken = fold(edges(tier, l, f), ["pair_id"], ["old", "off", "odd", "far", "new"], Assign, "label_id long, found_id long")
+        taken = checkpointed(taken.withColumn("tier", F.lit(tier)))
+        out = taken if out is None else out.union(taken)
+    return out
+
+
+def preferred_outcomes(labels: DataFrame, found: DataFrame, matches: DataFrame) -> DataFrame:
+    """``pair_id, kind, id``: matched, missed and unresolvable labels; duplicate and spurious predictions.
+
+    A label that is not ``resolved`` (names no entity) and not matched is unresolvable. A leftover prediction is a duplicate of a matched label of its pair and category that has its handle or one of its texts; nearness alone makes none.
+    """
+    keys = ["pair_id", "label_id"]
+    told = labels.join(matches.select(*keys), keys, "left_semi")
+    open_ = labels.join(matches.select(*keys), keys, "left_anti")
+    rest = found.join(matches.select("pair_id", "found_id"), ["pair_id", "found_id"], "left_anti")
+    by_handle = rest.where("handle <> ''").join(told.select("pair_id", "category", "handle").distinct(), ["pair_id", "category", "handle"], "left_semi")
+    text = F.explode(F.filter("texts", lambda t: t != "")).alias("text")
+    by_text = rest.select("pair_id", "found_id", "category", text).join(told.select("pair_id", "category", text).distinct(), ["pair_id", "category", "text"], "left_semi")
+    again = by_handle.select("pair_id", "found_id").union(by_text.select("pair_id", "found_id")).distinct()
+    spurious = rest.join(again, ["pair_id", "found_id"], "left_anti")
+    row = lambda df, kind, id_: df.select("pair_id", F.lit(kind).alias("kind"), F.col(id_).cast("long").alias("id"))
+    return (
+        row(matches, "matched", "label_id").union(row(open_.where("resolved"), "missed", "label_id")).union(row(open_.where("not resolved"), "unresolvable", "label_id"))
+        .union(row(again, "duplicate", "found_id")).union(row(spurious, "spurious", "found_id"))
+    )
+
+
 def outcomes(labels: DataFrame, found: DataFrame, matches: DataFrame, within: str = "pair_id", resolved: str = "resolved") -> DataFrame:
     """``kind, id``: matched, missed and unresolvable labels; duplicate and spurious predictions.
 

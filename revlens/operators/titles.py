@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .folds import checkpointed, fold
+from .folds import Assign, checkpointed, fold
 from .ordered import columns_by_step
 from .zones import folded
 
@@ -217,26 +216,6 @@ def title_fields(entities: DataFrame, boxes: DataFrame) -> DataFrame:
     return values.where("text <> ''").join(keys, ["sheet", "place"], "left").select("sheet", "place", F.when(F.col("parts").isNull(), "Value").otherwise(key).alias("key"), F.col("text").alias("value"), "x", "y")
 
 
-class _Assign:
-    """Pairs taken in order, each side once."""
-
-    def __init__(self):
-        self.old: set[int] = set()
-        self.new: set[int] = set()
-
-    def take(self, rows: pa.Table) -> list[tuple]:
-        out = []
-        for o, n in zip(rows["old_place"].to_pylist(), rows["new_place"].to_pylist(), strict=True):
-            if o not in self.old and n not in self.new:
-                self.old.add(o)
-                self.new.add(n)
-                out.append((o, n))
-        return out
-
-    def end(self) -> list[tuple]:
-        return []
-
-
 def matched_fields(old: DataFrame, new: DataFrame) -> DataFrame:
     """``sheet, old_place, new_place, old_key, new_key, old_value, new_value``: fields of two revisions (sheet, place, key, value) side by side; one side null where a field has no partner.
 
@@ -251,7 +230,7 @@ def matched_fields(old: DataFrame, new: DataFrame) -> DataFrame:
     exact = a.join(b, ["sheet", "header"]).select("sheet", "old_place", "new_place", F.lit(0).alias("tier"))
     alike = meaning(a, "old").join(meaning(b, "new"), ["sheet", "group"]).select("sheet", "old_place", "new_place", F.lit(1).alias("tier"))
     edges = exact.union(alike).groupBy("sheet", "old_place", "new_place").agg(F.min("tier").alias("tier"))
-    taken = fold(edges, ["sheet"], ["old_place", "tier", "new_place"], _Assign, "took_old int, took_new int")
+    taken = fold(edges.withColumnsRenamed({"old_place": "old", "new_place": "new"}), ["sheet"], ["old", "tier", "new"], Assign, "took_old int, took_new int")
     side = lambda df, s: df.select("sheet", F.col("place").alias(f"{s}_place"), F.col("key").alias(f"{s}_key"), F.col("value").alias(f"{s}_value"))
     with_old = side(old, "old").join(taken.select("sheet", F.col("took_old").alias("old_place"), F.col("took_new").alias("new_place")), ["sheet", "old_place"], "left")
     both = with_old.join(side(new, "new"), ["sheet", "new_place"], "full")
