@@ -23,24 +23,21 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr output q rb rp rt ruby s "
     "samp small span strike strong sub sup time tt u var wbr".split()
 )
-CLOSES = {
-    "li": ("li", ("ul", "ol", "menu")),
-    "p": ("p", ()),
-    "dt": ("dt dd", ("dl",)),
-    "dd": ("dt dd", ("dl",)),
-    "tr": ("tr td th", ("table",)),
-    "td": ("td th", ("tr", "table")),
-    "th": ("td th", ("tr", "table")),
-    "option": ("option", ("select",)),
-}
+CLOSES = {"li": "li", "p": "p", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 # Words in class, id and role by which pages mark what isn't their main text.
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation "
     "menu breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent notice notification alert popup "
     "modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "recommendations comment comments disqus respond reply replies widget toolbar pagination pager skip "
-    "complementary contentinfo search".split()
+    "complementary contentinfo search adsbygoogle rightbar leftbar commentlist commentform".split()
 )
+# Those of them that mark what isn't main text beside any other word, too ("post-comments", but not "has-comments").
+STRONG_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion breadcrumb breadcrumbs sidebar cookie cookies consent popup newsletter subscribe "
+    "subscription share sharing social related recommended recommendations comment comments disqus respond replies widget pagination adsbygoogle commentlist commentform".split()
+)
+DENIED = frozenset("has have no not non with without hide hidden show free".split())
 # Words that may stand beside those without changing what is marked ("site-footer", but not "has-sidebar").
 BESIDE_WORDS = frozenset(
     "site page global main primary secondary top bottom left right side box block container wrapper wrap inner outer "
@@ -55,18 +52,21 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "aside", "items", "up", "chars", "tags", "link_chars", "link_tags", "density", "total", "marked")
+    __slots__ = ("tag", "aside", "items", "up", "chars", "tags", "link_chars", "link_tags", "density", "total", "marked", "block")
 
     def __init__(self, tag: str, up: Node | None, aside: bool = False, marked: bool = False):
         self.tag, self.up, self.aside, self.marked = tag, up, aside, marked
+        self.block = up.block if up and tag in INLINE else self  # the nearest that is no inline element, so that none is climbed twice
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
 def _marks(token: str) -> bool:
-    """Whether a whole class, id or role names something that isn't main text."""
+    """Whether a class, id or role names something that isn't main text: as a whole, or by a word that says so in any company but a denial's."""
     words = set(re.split(r"[^a-z]+", token)) - {""}
+    if not STRONG_WORDS.isdisjoint(words) and DENIED.isdisjoint(words):
+        return True
     return not ASIDE_WORDS.isdisjoint(words) and words <= ASIDE_WORDS | BESIDE_WORDS
 
 
@@ -119,11 +119,8 @@ def parse(page: str) -> Node:
                 at = close(node)
             continue
         if tag in CLOSES or (tag not in INLINE and tag not in VOID and at.tag == "p"):
-            names, limits = CLOSES.get(tag, ("p", ()))
-            own, node = names.split(), at
-            while node.tag in INLINE and node.tag not in limits:
-                node = node.up
-            if node.tag in own:
+            node = at.block
+            if node.tag in CLOSES.get(tag, "p").split():
                 at = close(node)
         node = Node(tag, at, *(() if tag in ("html", "body", "article", "main") else _is_aside(tag, found[3])))
         at.items.append(node)

@@ -52,3 +52,37 @@ def test_marked_elements_still_go(mark):
 
 def test_many_nested_wrappers_take_linear_time():
     assert extract("<div class=sidebar>" * 20_000 + "deep text") == "deep text"
+
+
+WRAPPERS = (
+    "related-posts related-articles recommended-reading comment-body comment-thread reader-comments user-comments post-comments commentlist share-buttons ad-slot adsbygoogle sponsored-content "
+    "newsletter-form breadcrumb-trail widget_recent rightbar comments-section sidebar-left social-links article-share promo-box cookie-bar in-article-ad related_stories subscribe-cta "
+    "advertisement-label pagination-links disqus_thread replies-list"
+).split()
+
+
+@pytest.mark.parametrize("inside", [False, True])
+def test_marked_wrappers_go_beside_and_inside_the_article(inside):
+    story = "".join(f"<p>Paragraph {k} of the story tells at some length what has happened in the town this week, and why.</p>" for k in range(6))
+    wanted = "\n".join(f"Paragraph {k} of the story tells at some length what has happened in the town this week, and why." for k in range(6))
+    for name in WRAPPERS:
+        junk = f'<div class="{name}">' + "".join(f"<p>Junk {k} that stands in a box of its own and says nothing of the matter at all.</p>" for k in range(3)) + "</div>"
+        page = f"<html><body><article>{story}{junk if inside else ''}</article>{'' if inside else junk}</body></html>"
+        assert extract(page) == wanted, name
+        plain = f"<html><body><div class='entry'>{story}{junk if inside else ''}</div>{'' if inside else junk}</body></html>"
+        assert extract(plain) == wanted, name
+
+
+def test_wrappers_that_only_speak_of_such_things_stay():
+    story = "".join(f"<p>Paragraph {k} of the story tells at some length what has happened in the town this week, and why.</p>" for k in range(6))
+    for name in ("has-sidebar", "no-comments", "with-ads", "content has-related", "post-share-wrap", "ad-free"):
+        assert extract(f"<html><body><div class='{name}'>{story}</div></body></html>").count("\n") == 5, name
+
+
+def test_open_inline_elements_are_climbed_once():
+    import time
+
+    began = time.perf_counter()
+    n = 80_000
+    assert extract("<html><body>" + "<b>" * n + "<li>x</li>" * n + "</body></html>").count("x") == n
+    assert time.perf_counter() - began < 20
