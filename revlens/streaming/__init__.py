@@ -1 +1 @@
-"""Streaming twins of the event-state operators."""
+"""State operators on streams: the same results as their batch forms once all events are in."""
