@@ -368,3 +368,26 @@ def j14_matched_fields(spark, sf_dir):
     e = entities(spark, sf_dir)
     sides = [titles.title_fields(e.where(F.pmod("ord", F.lit(2)) == side), _ul_boxes(e)) for side in (0, 1)]
     return titles.matched_fields(*sides)
+
+
+PLACE_SQL = "CASE zone " + " ".join(f"WHEN '{z}' THEN {k}" for k, z in enumerate(zones.ORDER)) + " END"
+
+
+@book.add(WITH + f"""
+SELECT e.sheet, e.ord, (SELECT arg_min(zone, {PLACE_SQL}) FROM resolved r WHERE r.sheet = e.sheet AND e.x BETWEEN xmin AND xmax AND e.y BETWEEN ymin AND ymax) AS owner,
+       EXISTS (SELECT 1 FROM resolved r WHERE r.sheet = e.sheet AND list_contains({sql_list(z for z in zones.ORDER if zones.RANKS[z] == 0)}, zone) AND e.x BETWEEN xmin AND xmax AND e.y BETWEEN ymin AND ymax) AS vetoed
+FROM e
+""")
+def f22_owned_by_outranking(spark, sf_dir):
+    """The owner of everything on every sheet, and whether a zone that outranks the notes has it."""
+    e = entities(spark, sf_dir)
+    z = zones.resolved_zones(e, _found(zones.anchor_hits(e)))
+    points = zones.owned_by_other(e.select("sheet", "ord", "x", "y"), z, "notes")
+    return zones.owners(points, z).select("sheet", "ord", "owner", "vetoed")
+
+
+@book.add(WITH + f"SELECT sheet, zone, source FROM resolved WHERE list_contains({sql_list(z for z in zones.ORDER if zones.RANKS[z] < zones.RANKS['views'])}, zone)")
+def f23_outranking_exclusions(spark, sf_dir):
+    """Zones of every sheet that are taken out of its views."""
+    e = entities(spark, sf_dir)
+    return zones.exclusions(zones.resolved_zones(e, _found(zones.anchor_hits(e))), "views").select("sheet", "zone", "source")

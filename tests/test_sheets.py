@@ -253,6 +253,19 @@ def test_fold_of_one_large_group_over_many_batches(spark):
     assert got[1] == 45_000 and got[None] == 1 and sum(got.values()) == 50_001
 
 
+def test_zones_are_ranked_and_peers_tie(spark):
+    assert set(zones.OUTSIDE_VIEWS) <= set(zones.ORDER) and zones.PRECEDENCE[-1] == ["views"]
+    assert all(zones.RANKS[s] < zones.RANKS[w] for s in ("title", "tolerance", "bom", "shim") for w in ("title_upper_left", "notes", "iso"))
+    box = "sheet long, zone string, xmin double, ymin double, xmax double, ymax double"
+    z = spark.createDataFrame([(1, n, 0.0, 0.0, 10.0, 10.0) for n in ("views", "notes", "iso", "bom")] + [(1, "title", 8.0, 8.0, 20.0, 20.0), (1, "odd", 0.0, 0.0, 99.0, 99.0), (2, "notes", 0.0, 0.0, 5.0, 5.0)], box)
+    p = spark.createDataFrame([(1, 1, 5.0, 5.0), (1, 2, 9.0, 9.0), (1, 3, 15.0, 15.0), (1, 4, 50.0, 50.0), (2, 5, 5.0, 5.0), (3, 6, 1.0, 1.0), (1, 7, None, 1.0)], "sheet long, id long, x double, y double").withColumn("zone", F.lit("clash"))
+    assert {r.id: r.owner for r in zones.owners(p, z).collect()} == {1: "bom", 2: "title", 3: "title", 4: None, 5: "notes", 6: None, 7: None}
+    assert {r.id: r.owner for r in zones.owners(p, z, ["iso", "notes"]).collect()} == {1: "notes", 2: "notes", 3: None, 4: None, 5: "notes", 6: None, 7: None}
+    assert {r.id for r in zones.owned_by_other(p, z, "notes").where("vetoed").collect()} == {1, 2, 3}
+    assert zones.owned_by_other(p, z, "title").where("vetoed").count() == 0
+    assert {r.zone for r in zones.exclusions(z, "notes").collect()} == {"bom", "title"} and zones.exclusions(z, "odd").count() == 0
+
+
 # -- notes
 
 
