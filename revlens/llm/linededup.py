@@ -216,12 +216,16 @@ def staying_lines(
         fits = common >= _least(F.size("set") + F.size("other") - common, similarity)
         matched = scratch.save(both.where(fits).select("late").distinct())
         scratch.drop(whole)
+        scratch.drop(pairs)
         return matched
 
     settled = verified(scratch.save(likely_matches(classes, similarity)))
     rest = verified(scratch.save(candidates(classes, settled, similarity)))
     firsts = classes.select("id", *KEY, "no").join(settled.union(rest).withColumnRenamed("late", "id"), "id", "left_anti")
-    return firsts.groupBy(*KEY).agg(F.sort_array(F.collect_set("no")).alias("stay"))
+    stay = scratch.save(firsts.groupBy(*KEY).agg(F.sort_array(F.collect_set("no")).alias("stay")))
+    for over in (classes, settled, rest):  # before the texts are shuffled once more
+        scratch.drop(over)
+    return stay
 
 
 def with_kept_text(
