@@ -50,13 +50,18 @@ class Scratch:
         """``df``, written and read again. Shuffle files of steps that are over are let go, to bound the disk in use."""
         path = f"{self.folder}/{self.made}"
         self.made += 1
+        self.collect()  # what was still held at the end of the step before
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(back)] = path
-        gc.collect()
-        self.spark._jvm.System.gc()  # Spark removes the files of unreachable shuffles on collection
+        self.collect()
         return back
 
+    def collect(self) -> None:
+        """Spark removes the files of unreachable shuffles on collection."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df)))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -14,6 +16,7 @@ SHADE_AT = 57  # bits of a word's hash below its rarity, which takes six: a key
 SHARED_SHADE = 3  # of a slot with more than its seeded row and one word: words below are in one line only
 LEADERS = 16
 WAYS = 3
+SLICES = 3
 
 
 def _words(text: Column, plain: Column | None = None) -> Column:
@@ -149,31 +152,47 @@ def likely_matches(classes: DataFrame, similarity: float) -> DataFrame:
     return best.select("late", F.explode(F.slice(F.sort_array("s"), 1, 2).getField("early")).alias("early"))
 
 
-def candidates(classes: DataFrame, settled: DataFrame, similarity: float) -> DataFrame:
+def candidates(classes: DataFrame, settled: DataFrame, similarity: float, scratch: Scratch | None = None, slices: int = SLICES) -> DataFrame:
     """``late, early``: all pairs of classes that share enough words at their fronts to be similar, perhaps, but for settled lates.
 
-    Prefix, length and positional filter, the bound by parities, and one by how many words the fronts share. A settled class
-    stays on the early side. Both sides are the same rows, so they are shuffled once.
+    Two sets that must share k words share one among all but the last k - 1 of either, two among all but the last k - 2,
+    and so on. Pairs meet on words within the second of these ranges, so a pair takes a row or two, not one for each
+    word of the fronts. Further length and positional filter, the bound by parities, and one by how many words are shared up to the last that was met.
+    A settled class stays on the early side. The words go in ``slices``, one after the other, so that a part of the fronts is shuffled at a time.
     """
+    scratch = scratch or Scratch(classes.sparkSession)
     done = settled.select(F.col("late").alias("id"), F.lit(1).cast("long").alias("done"))
-    coded = classes.join(done, "id", "left").withColumn("code", 2 * F.col("id") + F.coalesce("done", F.lit(0)))
+    code = (2 * F.col("id") + F.coalesce("done", F.lit(0))).alias("code")
+    coded = scratch.save(classes.join(done, "id", "left").select(code, "n", "sketch", "front"))
     gone = F.col("n") - _least(F.col("n"), similarity) + 1 - F.size("front")
-    entries = coded.select("code", "n", "sketch", gone.alias("gone"), F.posexplode("front").alias("i", "word"))
-    entries = entries.select("code", "n", "sketch", (F.col("gone") + F.col("i")).alias("pos"), "word")
-    own, other = entries.alias("l"), entries.alias("e")
     ln, en, lp, ep = (F.col(c) for c in ("l.n", "e.n", "l.pos", "e.pos"))
     late, early = F.col("l.code"), F.shiftright("e.code", 1)
+    beyond = F.greatest(lp - ln, ep - en) + _shared(ln, en, similarity)  # the first range ends at 0
     fits = (
         (F.col("l.word") == F.col("e.word"))
         & (early < F.when(late % 2 == 0, F.shiftright(late, 1)).otherwise(-1))
+        & (beyond <= 1)
         & (F.least(lp, ep) + 1 + F.least(ln - lp - 1, en - ep - 1) >= _shared(ln, en, similarity))
         & _may_match("l", "e", similarity)
     )
-    met = own.join(other, fits).groupBy(F.shiftright(late, 1).alias("late"), early.alias("early"), ln.alias("ln"), en.alias("en"))
-    # Words that are not common to both prefixes are common only if they lie behind the prefix of one of the lines.
-    behind = F.greatest(*[_least(F.col(n), similarity) - 1 for n in ("ln", "en")])
-    enough = F.col("met") + behind >= _shared(F.col("ln"), F.col("en"), similarity)
-    return met.agg(F.count(F.lit(1)).alias("met")).where(enough).select("late", "early")
+    pair = ["late", "early", "ln", "en"]
+    parts = []
+    for k in range(slices):
+        entries = coded.select("code", "n", "sketch", gone.alias("gone"), F.posexplode("front").alias("i", "word"))
+        entries = entries.where(F.pmod("word", F.lit(slices)) == k).select("code", "n", "sketch", (F.col("gone") + F.col("i")).alias("pos"), "word")
+        met = entries.alias("l").join(entries.alias("e"), fits)
+        met = met.groupBy(F.shiftright(late, 1).alias("late"), early.alias("early"), ln.alias("ln"), en.alias("en"))
+        parts.append(scratch.save(met.agg(F.count(F.lit(1)).alias("met"), F.count_if(beyond <= 0).alias("first"), F.max(lp).alias("lp"), F.max(ep).alias("ep"))))
+    scratch.drop(coded)
+    met = reduce(DataFrame.union, parts).groupBy(*pair).agg(F.sum("met").alias("met"), F.sum("first").alias("first"), F.max("lp").alias("lp"), F.max("ep").alias("ep"))
+    shared = _shared(F.col("ln"), F.col("en"), similarity)
+    whole = shared > _least(F.greatest("ln", "en"), similarity)  # the second range lies within both fronts
+    behind = F.least(F.col("ln") - F.col("lp"), F.col("en") - F.col("ep")) - 1
+    enough = (F.col("first") >= 1) & ((F.col("met") >= 2) | ~whole) & (F.col("met") + behind >= shared)
+    pairs = scratch.save(met.where(enough).select("late", "early"))
+    for over in parts:
+        scratch.drop(over)
+    return pairs
 
 
 def _beside(docs: DataFrame, other: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
@@ -220,7 +239,7 @@ def staying_lines(
         return matched
 
     settled = verified(scratch.save(likely_matches(classes, similarity)))
-    rest = verified(scratch.save(candidates(classes, settled, similarity)))
+    rest = verified(candidates(classes, settled, similarity, scratch))
     firsts = classes.select("id", *KEY, "no").join(settled.union(rest).withColumnRenamed("late", "id"), "id", "left_anti")
     stay = scratch.save(firsts.groupBy(*KEY).agg(F.sort_array(F.collect_set("no")).alias("stay")))
     for over in (classes, settled, rest):  # before the texts are shuffled once more
