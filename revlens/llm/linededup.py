@@ -19,12 +19,24 @@ WAYS = 3
 SLICES = 3
 
 
-def _words(text: Column, plain: Column | None = None) -> Column:
-    """Words, and empty ones; the plain blank, without a pattern, is the cheap common case (``plain``: the text for it)."""
-    odd = F.lit(False)
-    for c in "\t\x0b\x0c\r":
-        odd |= F.contains(text, F.lit(c))
-    return F.when(odd, F.split(text, WORD_BREAKS)).otherwise(F.split(text if plain is None else plain, " "))
+def _holds(text: Column, *parts: str) -> Column:
+    return reduce(Column.__or__, [F.contains(text, F.lit(p)) for p in parts])
+
+
+def _words(text: Column) -> Column:
+    """Words, and empty ones; the plain blank, without a pattern, is the cheap common case."""
+    plain = F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")
+    return F.when(_holds(text, *"\t\x0b\x0c\r"), F.split(text, WORD_BREAKS)).otherwise(plain)
+
+
+def _hashes(line: Column) -> Column:
+    """Hashes of 64 bits of the words of a line, repeated ones too.
+
+    Whatever stands below a lambda is interpreted, so there is only what an odd line needs; repeated ones go above it.
+    """
+    odd = _holds(line, *"\t\x0b\x0c\r", "  ") | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    words = F.when(odd, F.array_remove(F.split(line, WORD_BREAKS), "")).otherwise(F.split(line, " "))
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def _slot(h: Column) -> Column:
@@ -38,8 +50,9 @@ def rarity_table(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> D
     most. The table has a fixed size (2 MB) whatever the corpus. Any order of the words makes the join exact;
     this one makes it cheap.
     """
-    text = F.lower(F.col(text_col))
-    words = docs.select(F.explode(_words(text, F.replace(text, F.lit("\n"), F.lit(" ")))).alias("w"))
+    text = F.col("text")
+    low = docs.select(F.explode(F.array(F.lower(F.col(text_col)))).alias("text"))  # made once: a generator shares no expressions
+    words = low.select(F.explode(_words(text)).alias("w"))
     slots = words.select(_slot(F.xxhash64("w")).alias("slot")).union(docs.sparkSession.range(SLOTS))  # each at least once
     shade = F.least(F.floor(2 * F.log2("n")), F.lit(63)).cast("tinyint")
     shades = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).select("slot", shade.alias("shade"))
@@ -97,14 +110,12 @@ def line_classes(docs: DataFrame, scratch: Scratch, similarity: float, id_col: s
     )
     rows = rows.where(F.btrim("line", F.lit(" \t\x0b\x0c\r")) != "")
 
-    def by_rarity(w: Column) -> Column:
-        h = F.xxhash64(w)
+    def by_rarity(h: Column) -> Column:
         shade = F.get(F.col("__rarity"), _slot(h).cast("int")).cast("long")
         return F.shiftleft(shade, SHADE_AT).bitwiseOR(F.shiftrightunsigned(h, 64 - SHADE_AT))
 
-    words = F.array_remove(_words(F.col("line")), "")
     # In a plain projection the scalar is one value for a task; below an explode it would be a column of every row.
-    sets = rows.withColumn("__rarity", rarity.scalar()).select(*KEY, "no", F.sort_array(F.array_distinct(F.transform(words, by_rarity))).alias("set"))
+    sets = rows.withColumn("__rarity", rarity.scalar()).select(*KEY, "no", F.sort_array(F.array_distinct(F.transform(_hashes(F.col("line")), by_rarity))).alias("set"))
     sets = sets.select(*KEY, "no", F.size("set").alias("n"), _sketch(F.col("set")).alias("sketch"), "set")
     front = F.slice("set", 1, F.col("n") - _least(F.col("n"), similarity) + 1)
     front = F.filter(front, lambda w: w >= F.lit(SHARED_SHADE << SHADE_AT))
@@ -136,7 +147,9 @@ def likely_matches(classes: DataFrame, similarity: float) -> DataFrame:
 
         return F.array_min(F.transform("front", drawn))
 
-    members = classes.select("id", "n", "sketch", F.posexplode(F.array(*map(least, range(WAYS)))).alias("way", "name"))
+    names = [f"name{way}" for way in range(WAYS)]
+    members = classes.select("id", "n", "sketch", *[least(way).alias(name) for way, name in enumerate(names)])  # below the explode, which is compiled so
+    members = members.select("id", "n", "sketch", F.posexplode(F.array(*names)).alias("way", "name"))
     members = members.where("name is not null")
     own_turn = F.pmod(F.xxhash64("id"), F.lit(WAYS)) == F.col("way")  # so that a class in all groups of a way finds others there
     order = Window.partitionBy("way", "name").orderBy(~own_turn, "id")
@@ -215,7 +228,7 @@ def staying_lines(
     enough for a line to go. So classes are first held against the leaders of groups they belong to
     (:func:`likely_matches`), which settles the near copies, whose number of pairs would grow with the square of
     their group. The others are joined with all earlier classes on the rare words at the front of their sets
-    (:func:`candidates`), which loses no match. Jaccard is computed on the words themselves.
+    (:func:`candidates`), which loses no match. Jaccard is computed on 64-bit hashes of all words of both lines.
     """
     scratch = Scratch(docs.sparkSession)
     classes = line_classes(docs, scratch, similarity, id_col, text_col)
@@ -228,8 +241,7 @@ def staying_lines(
         found = _beside(docs.select(id_col, text_col), spots, id_col, text_col, "inner")
         found = found.select(F.explode(F.array(lines)).alias("lines"), "__spots").select("lines", F.explode("__spots").alias("spot"))
         found = found.select("spot.id", F.get("lines", "spot.no").alias("line")).dropDuplicates(["id"])
-        words = F.array_remove(F.array_distinct(_words(F.col("line"))), "")
-        whole = scratch.save(found.select("id", words.alias("set")))
+        whole = scratch.save(found.select("id", F.array_distinct(_hashes(F.col("line"))).alias("set")))
         both = pairs.join(whole.toDF("late", "set"), "late").join(whole.toDF("early", "other"), "early")
         common = F.size(F.array_intersect("set", "other"))
         fits = common >= _least(F.size("set") + F.size("other") - common, similarity)

@@ -81,3 +81,30 @@ def test_no_match_is_lost(spark, slices):
     odd = {(ids[r.late], ids[r.early]) for r in linededup.candidates(classes, settled, 0.8, scratch, slices).collect()}
     even = {d for i, d in ids.items() if i % 2 == 0}
     assert odd == {(a, b) for a, b in pairs if a in even}
+
+
+def test_hot_steps_are_compiled(spark):
+    """Classes are dealt to their groups, and sets compared, by generated code; the sets hold hashes, not words."""
+    saved = []
+
+    class Seen(Scratch):
+        def save(self, df):
+            saved.append(df)
+            return super().save(df)
+
+    rows = near_misses(random.Random(6), 40) + [(50, " x\ty  z x "), (51, "z x y"), (52, "y z  x\x0c")]
+    classes, scratch, ids, _ = classes_of(spark, rows)
+    assert {ids[r.id]: r.n for r in classes.collect() if ids[r.id] >= 50} == {50: 3}
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = linededup.likely_matches(classes, 0.8)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    steps = [line for line in plan.splitlines() if "Generate posexplode" in line]
+    assert steps and all("*(" in line for line in steps)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(linededup, "Scratch", Seen)
+        linededup.staying_lines(spark.createDataFrame(rows + [(60, rows[0][1] + " more")], "doc_id long, text string"))
+    kinds = [dict(df.dtypes)["set"] for df in saved if "set" in df.columns]
+    assert kinds == ["array<bigint>"] * 2
