@@ -48,12 +48,10 @@ SELECT l_partkey, count(*) AS n, list_sort(list(d))[len(list(d)) // 2 + 1] AS of
 def j02_offset_upper_median(spark, sf_dir):
     lines = Tables(spark, sf_dir).lineitem
     ends = lines.where("l_returnflag = 'A'").groupBy("l_partkey").agg(F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
-    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("low").alias("q")), F.struct(F.lit(1).alias("side"), F.col("high").alias("q"))))
-    pairs = lines.where("l_returnflag = 'R'").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity").join(ends, "l_partkey")
-    pairs = pairs.select("l_partkey", F.struct("l_orderkey", "l_linenumber").alias("item"), "l_quantity", sides.alias("s"))
-    out = M.nearest_offset(
-        pairs, ["l_partkey"], "item", F.col("l_quantity") - F.col("s.q"), F.abs(F.col("l_quantity") - F.col("s.q")), "s.side", 6
-    )
+    q = F.col("l_quantity")
+    sides = [F.struct(F.abs(q - F.col(c)).alias("distance"), F.lit(k).alias("place"), (q - F.col(c)).alias("dx")) for k, c in enumerate(("low", "high"))]
+    pairs = lines.where("l_returnflag = 'R'").select("l_partkey", "l_quantity").join(ends, "l_partkey")
+    out = M.nearest_offset(pairs, ["l_partkey"], F.array(*sides), 6)
     return out.withColumnRenamed("offset", "offset_")
 
 
