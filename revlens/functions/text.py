@@ -75,10 +75,9 @@ def ratio(a: Column, b: Column) -> Column:
     @F.pandas_udf("double")
     def similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in batches:
-            yield pd.Series(
-                [difflib.SequenceMatcher(None, p, q).ratio() if p and q else 0.0 for p, q in zip(x, y, strict=True)],
-                dtype="float64",
-            )
+            pairs = list(zip(x, y, strict=True))
+            seen = {(p, q): difflib.SequenceMatcher(None, p, q).ratio() if p and q else 0.0 for p, q in set(pairs)}
+            yield pd.Series([seen[pair] for pair in pairs], dtype="float64")
 
     return similarity(a, b)
 
