@@ -50,3 +50,11 @@ def test_extents_are_those_of_the_things(spark):
 
 def test_many_placements_of_a_tree(spark):
     many(spark, True)
+
+
+def test_innermost_extents_are_those_of_the_things(spark):
+    same_as_exploded(spark, False)
+
+
+def test_many_placements_of_a_tree_by_innermost_transform(spark):
+    many(spark, False)
