@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import checkpointed
+
 # Points that a violation costs by severity; any other severity costs REST.
 SEVERITY = {"critical": 25.0, "high": 15.0, "medium": 8.0, "low": 3.0}
 REST = 5.0
@@ -262,6 +264,45 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return label.withColumnRenamed("u", "node")
 
 
+def linked_points(points: DataFrame, by: str, id_col: str, radius: float) -> DataFrame:
+    """``node, cluster``: single-linkage clusters of points (by, id_col, x, y) within ``radius`` in their group; the least id names one. A point without a group or place is alone.
+
+    Points of one cell, whose diagonal is a quarter of the radius, are linked anyway, so cells stand for them. Two cells are linked surely where the far corners of
+    their points' boxes are within the radius, and never where the near ones aren't. Points are held against each other only for pairs of cells that this leaves open and
+    that no chain of sure links joins, so pairs of points don't grow with the square of a dense place.
+    """
+    side = radius / 4 / 2**0.5
+    cell = [by, "cx", "cy"]
+    placed = points.where(F.col(by).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+    placed = placed.select(by, F.col(id_col).alias("id"), "x", "y", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
+    cells = checkpointed(placed.groupBy(*cell).agg(F.min("id").alias("id"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")))
+    reach = 6  # cells of a radius and one more, either way; a block is as wide
+    block = [F.floor(F.col(c) / reach) for c in ("cx", "cy")]
+    a = cells.select(F.col(by).alias("g"), block[0].alias("bx"), block[1].alias("by"), F.struct(*cells.columns).alias("a"))
+    shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("s")
+    b = cells.select(F.col(by).alias("g"), block[0].alias("bx"), block[1].alias("by"), F.struct(*cells.columns).alias("b"), shifts)
+    b = b.select("g", (F.col("bx") + F.col("s.i")).alias("bx"), (F.col("by") + F.col("s.j")).alias("by"), "b")
+    gap = lambda c: F.greatest(F.col(f"b.{c}0") - F.col(f"a.{c}1"), F.col(f"a.{c}0") - F.col(f"b.{c}1"), F.lit(0.0))
+    span = lambda c: F.greatest(F.col(f"b.{c}1") - F.col(f"a.{c}0"), F.col(f"a.{c}1") - F.col(f"b.{c}0"))
+    after = (F.col("a.cx") < F.col("b.cx")) | ((F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") < F.col("b.cy")))
+    pairs = a.join(b, ["g", "bx", "by"]).where(after & (F.hypot(gap("x"), gap("y")) <= radius * (1 + 1e-12)))
+    pairs = pairs.select("a", "b", (F.hypot(span("x"), span("y")) <= radius * (1 - 1e-12)).alias("sure"))
+    own = points.select(F.col(id_col).alias("a"), F.col(id_col).alias("b"))
+    stars = placed.join(cells.select(*cell, F.col("id").alias("a")), cell).select("a", F.col("id").alias("b")).union(own)
+    sure = pairs.where("sure").select("a.id", F.col("b.id").alias("other")).toDF("a", "b")
+    first = checkpointed(components(stars.union(sure)))  # also joins places of one id
+    label = lambda c: first.select(F.col("node").alias(f"n_{c}"), F.col("cluster").alias(f"c_{c}"))
+    open_ = pairs.where("not sure").join(label("a"), F.col("a.id") == F.col("n_a")).join(label("b"), F.col("b.id") == F.col("n_b")).where("c_a <> c_b")
+    ends = lambda c: placed.select(*[F.col(k).alias(f"{k}_{c}") for k in (*cell, "x", "y")])
+    met = checkpointed(open_.select("c_a", "c_b", *[F.col(f"{c}.{k}").alias(f"{k}_{c}") for c in "ab" for k in cell]))
+    met = met.join(ends("a"), [f"{k}_a" for k in cell]).join(ends("b"), [f"{k}_b" for k in cell])
+    more = checkpointed(met.where(F.hypot(F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")) <= radius).select("c_a", "c_b").distinct())
+    if more.isEmpty():
+        return first
+    second = components(more, "c_a", "c_b").select(F.col("node").alias("cluster"), F.col("cluster").alias("low"))
+    return first.join(second, "cluster", "left").select("node", F.coalesce("low", "cluster").alias("cluster"))
+
+
 def largest_cluster(labels: DataFrame, by: list[str], cluster: str, least: int = 3) -> DataFrame:
     """The cluster of most members in each group, if it has ``least``; ties go to the least label."""
     n = labels.groupBy(*by, cluster).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)

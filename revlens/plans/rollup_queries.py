@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from revlens.operators import filters, matching, ordered, retrieval, rules, state
+from revlens.operators import filters, ordered, retrieval, rules, state
 from revlens.operators import rollups as R
 
 from .base import Book, Tables
@@ -167,8 +167,7 @@ r(a, b) AS (SELECT s_suppkey, s_suppkey FROM p UNION SELECT r.a, e.b FROM r JOIN
 def _clusters(spark, sf_dir):
     s = Tables(spark, sf_dir).supplier
     points = s.select("s_nationkey", "s_suppkey", (F.col("s_suppkey") % 40).cast("double").alias("x"), (F.col("s_acctbal") / 500).alias("y"))
-    near = matching.grid_join(points, points, 8.0, ["s_nationkey"])
-    return R.components(near.select(F.col("l.s_suppkey").alias("a"), F.col("r.s_suppkey").alias("b"))).withColumnRenamed("node", "s_suppkey")
+    return R.linked_points(points, "s_nationkey", "s_suppkey", 8.0).withColumnRenamed("node", "s_suppkey")
 
 
 @book.add(CLUSTERS_SQL + "SELECT * FROM c")
